@@ -8,7 +8,8 @@ that lists stay short.
 
 No list is expanded into all its pairs. First every member meets its list's first member; what links is one
 component. Then only members of different components of a list meet, each pair bounded by sizes and by
-512-bit parity maps before it becomes a row. Every pair left is checked exactly on whole sets.
+512-bit parity maps before it becomes a row. Parity maps of as many bits as a set has tokens then part most
+pairs without moving sets; every pair left is checked exactly on whole sets.
 """
 
 from __future__ import annotations
@@ -174,7 +175,7 @@ def boundary(scan: float, num: int, den: int) -> int:
 
 
 def _entries(k: int, num: int, den: int, bound: int, heavy):
-    """key, n, lists array<long>, and the parity map, for each document with a set."""
+    """key, n, lists array<long>, and two parity maps, for each document with a set."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -184,7 +185,7 @@ def _entries(k: int, num: int, den: int, bound: int, heavy):
         upper = bound * den // num  # sets up to here may link with one below the boundary
         for keys, sets in _pieces(batches, k):
             rows: dict[str, list] = {"key": [], "n": [], "lists": []}
-            maps = []
+            maps, wides = [], []
             for key, s in zip(keys, sets, strict=True):
                 n = len(s)
                 if not n or key is None:
@@ -211,12 +212,17 @@ def _entries(k: int, num: int, den: int, bound: int, heavy):
                 rows["lists"].append(np.concatenate(lists) if lists else np.zeros(0, np.int64))
                 bits = (np.bincount(s & (64 * MAP_WORDS - 1), minlength=64 * MAP_WORDS) & 1).astype(np.uint8)
                 maps.append(np.packbits(bits).view(np.int64))
+                width = max(64, 1 << (n - 1).bit_length())
+                bits = (np.bincount(s & (width - 1), minlength=width) & 1).astype(np.uint8)
+                wides.append(np.packbits(bits).view(np.int64))
             if not maps:
                 continue
             table = np.stack(maps)
             arrays = {"key": pa.array(rows["key"], pa.int64()), "n": pa.array(rows["n"], pa.int64())}
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in rows["lists"]]))).astype(np.int32)
             arrays["lists"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows["lists"])))
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in wides]))).astype(np.int32)
+            arrays["wide"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(wides)))
             yield pa.RecordBatch.from_pydict(arrays | {f"m{i}": pa.array(table[:, i].copy()) for i in range(MAP_WORDS)})
 
     return run
@@ -284,7 +290,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = scratch.table(classes.filter("c > 1").drop("c"))
     copies = scratch.table(sets.join(sized(classes), ["n", "a", "b"]).filter("key != rep").select("key", "rep").distinct())
     maps = [f"m{i}" for i in range(MAP_WORDS)]
-    schema = "key long, n long, lists array<long>, " + ", ".join(f"{m} long" for m in maps)
+    schema = "key long, n long, lists array<long>, wide array<long>, " + ", ".join(f"{m} long" for m in maps)
     entries = slim.mapInArrow(_entries(k, num, den, bound, heavy), schema).join(sized(copies), "key", "left_anti")
     entries = scratch.table(entries)
     info = entries.select("key", "n", *maps)
@@ -304,6 +310,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) that link, by their whole sets."""
         pairs = scratch.table(pairs.distinct())
+        x, y = (entries.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "xy")
+        both = pairs.join(y, "y").join(x, "x")
+        for c, other in ("xy", "yx"):  # maps of different widths: the wider one is folded
+            half = f"cast(size(w{c}) / 2 as int)"
+            folded = f"zip_with(slice(w{c}, 1, {half}), slice(w{c}, {half} + 1, {half}), (a, b) -> a ^ b)"
+            both = both.withColumn(f"w{c}", F.expr(f"if(size(w{c}) > size(w{other}), {folded}, w{c})"))
+        differ = F.expr("aggregate(zip_with(wx, wy, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v)")
+        overlap = F.ceil((F.col("nx") + F.col("ny")) * num / (num + den) - F.lit(1e-9))
+        pairs = scratch.table(both.filter(differ <= F.col("nx") + F.col("ny") - 2 * overlap).select("x", "y"))
         ids = scratch.table(pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct())
         whole = slim.join(sized(ids), "key", "left_semi").mapInArrow(_whole(k), "key long, tokens array<long>")
         whole = scratch.table(whole.dropDuplicates(["key"]))
