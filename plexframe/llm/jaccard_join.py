@@ -25,10 +25,10 @@ from .common import Scratch, sized
 #: Bytes of text whose shingles are computed at once.
 PIECE_BYTES = 1 << 21
 #: A token counts as frequent from this many sets on; the number doubles until at most HEAVY_TOKENS remain.
-HEAVY_FROM = 32
+HEAVY_FROM = 8
 HEAVY_TOKENS = 1_000_000
 #: A batch reports tokens that it holds in so many sets.
-LOCAL_FROM = 3
+LOCAL_FROM = 2
 MAP_WORDS = 8
 
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
@@ -191,8 +191,9 @@ def _entries(k: int, num: int, den: int, bound: int, heavy):
                 if not n or key is None:
                     continue
                 if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    is_heavy = known[at] == s
+                    mixed = _mix(s.view(np.uint64) + np.uint64(1)).view(np.int64)
+                    at = np.minimum(np.searchsorted(known, mixed), len(known) - 1)
+                    is_heavy = known[at] == mixed
                     late = np.flatnonzero(is_heavy)
                     order = np.concatenate((s[~is_heavy], s[late[np.argsort(often[at[late]], kind="stable")]]))
                 else:
@@ -280,8 +281,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         least *= 2
     import numpy as np
 
-    found = counts.filter(F.col("df") >= least).orderBy("a").toPandas()  # at most HEAVY_TOKENS rows
-    heavy = spark.sparkContext.broadcast((found["a"].to_numpy(np.int64), found["df"].to_numpy(np.int64)))
+    found = counts.filter(F.col("df") >= least).toPandas()  # at most HEAVY_TOKENS rows
+    with np.errstate(over="ignore"):
+        known = _mix(found["a"].to_numpy(np.int64).view(np.uint64) + np.uint64(1)).view(np.int64)
+    often = found["df"].to_numpy(np.int64)
+
+    def last(known, often):
+        order = np.argsort(known, kind="stable")
+        return spark.sparkContext.broadcast((known[order], often[order]))
+
     # an inverted list's mean length, if all tokens that recur were looked up
     scan = math.log2(2 + float(found["df"].mean() if len(found) else 0))
     bound = boundary(scan, num, den)
@@ -291,8 +299,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     copies = scratch.table(sets.join(sized(classes), ["n", "a", "b"]).filter("key != rep").select("key", "rep").distinct())
     maps = [f"m{i}" for i in range(MAP_WORDS)]
     schema = "key long, n long, lists array<long>, wide array<long>, " + ", ".join(f"{m} long" for m in maps)
-    entries = slim.mapInArrow(_entries(k, num, den, bound, heavy), schema).join(sized(copies), "key", "left_anti")
-    entries = scratch.table(entries)
+
+    def enter(heavy) -> DataFrame:
+        return slim.mapInArrow(_entries(k, num, den, bound, heavy), schema).join(sized(copies), "key", "left_anti")
+
+    # the survey misses tokens that recur thinly; the lists they make are counted, and those tokens come last too
+    first = enter(last(known, often)).select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("c"))
+    first = scratch.table(first.filter(F.col("c") >= HEAVY_FROM))
+    least = HEAVY_FROM
+    while first.filter(F.col("c") >= least).count() > HEAVY_TOKENS:
+        least *= 2
+    long = first.filter(F.col("c") >= least).toPandas()  # at most HEAVY_TOKENS rows
+    fresh = ~np.isin(long["list"].to_numpy(np.int64), known)
+    known = np.concatenate((known, long["list"].to_numpy(np.int64)[fresh]))
+    often = np.concatenate((often, long["c"].to_numpy(np.int64)[fresh]))
+    entries = scratch.table(enter(last(known, often)))
     info = entries.select("key", "n", *maps)
 
     posted = entries.select("key", F.explode("lists").alias("list"))
