@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +34,20 @@ UNITS = frozenset(
 NUMBER = re.compile(r"[$€£]?[+-]?\d[\d,]*(?:\.\d+)?%?")
 GLUED = re.compile(r"([$€£]?[+-]?\d[\d,]*(?:\.\d+)?)([a-z]+)")
 EDGE = "\"'`.,;:!?()[]{}<>*_|«»“”‘’…-–—"
+CLOSING = "\"')]”’»"
 #: Words whose reading a task remembers.
-MEMO = 400_000
+MEMO = 300_000
 LITERAL, NUM, NAME, UNIT, SKIP = range(5)
 
 
 def _reading(word: str) -> tuple[int, str, bool, bool]:
     """kind, core, whether a capital begins it, whether a sentence ends after it."""
+    if word.isalpha():
+        return LITERAL, word.lower(), word[0].isupper(), False
     core = word.strip(EDGE)
-    ends = word[-1:] in ".!?:" or word.rstrip("\"')]”’»")[-1:] in (".", "!", "?")
+    if core.isalpha():
+        return LITERAL, core.lower(), core[0].isupper(), word[-1] in ".!?:" or (word[-1] in CLOSING and word.rstrip(CLOSING)[-1:] in (".", "!", "?"))
+    ends = word[-1:] in ".!?:" or word.rstrip(CLOSING)[-1:] in (".", "!", "?")
     if not core:
         return SKIP, "", False, ends
     low = core.lower()
@@ -61,11 +67,10 @@ class Canon:
     def clear(self):
         self.at: dict[str, int] = {}
         self.core: list[str] = []
-        self.rows: list[tuple[int, int, bool, bool, bool]] = []
+        self.rows: list[tuple[int, int, bool, bool, bool]] = []  # not yet in arrays
+        self.arrays: list = []
 
     def _add(self, word: str) -> int:
-        import xxhash
-
         kind, core, capital, ends = _reading(word)
         glued = kind == NUM and not core[-1].isdigit() and core[-1] != "%"
         label = f"\x00{NUM}{GLUED.fullmatch(core)[2] if glued else ''}" if kind == NUM else core
@@ -83,19 +88,22 @@ class Canon:
         return np.fromiter((at[w] if w in at else add(w) for w in words), np.int64, len(words))
 
     def table(self):
+        """kind, hash, capital, ends and unit of every word so far, as arrays."""
         import numpy as np
 
-        kind, h, capital, ends, unit = zip(*self.rows, strict=True)
-        return np.array(kind, np.int8), np.array(h, np.int64), np.array(capital), np.array(ends), np.array(unit)
+        if self.rows:
+            new = [np.array(x, t) for x, t in zip(zip(*self.rows, strict=True), (np.int8, np.int64, bool, bool, bool), strict=True)]
+            self.arrays = [np.concatenate(x) for x in zip(self.arrays, new, strict=True)] if self.arrays else new
+            self.rows = []
+        return self.arrays
 
 
 def _canonical(texts: list[str], canon: Canon) -> list[tuple]:
     """(hashes, kinds, word ids) for each text."""
     import numpy as np
-    import xxhash
 
     ids = [canon.tokens(t) for t in texts]
-    if not canon.rows:
+    if not canon.core:
         return [(np.zeros(0, np.int64), np.zeros(0, np.int8), x) for x in ids]
     kind, h, capital, ends, unit = canon.table()
     marks = {k: xxhash.xxh3_64_intdigest(f"\x00{k}") - (1 << 63) for k in (NAME, UNIT)}
@@ -174,7 +182,7 @@ def _finder(wanted):
             keys, texts, i = batch.column(0).to_pylist(), batch.column(1), 0
             while i < len(keys):
                 part, held = [], 0
-                while i + len(part) < len(keys) and held < 1 << 21:
+                while i + len(part) < len(keys) and held < 1 << 20:
                     part.append(texts[i + len(part)].as_py() or "")
                     held += len(part[-1])
                 if len(canon.core) > MEMO:

@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, sized
 
 #: Bytes of text whose shingles are computed at once.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 #: A token counts as frequent from this many sets on; the number doubles until at most HEAVY_TOKENS remain.
 HEAVY_FROM = 8
-HEAVY_TOKENS = 1_000_000
+HEAVY_TOKENS = 500_000
 #: A batch reports tokens that it holds in so many sets.
 LOCAL_FROM = 2
 MAP_WORDS = 8
@@ -146,7 +146,7 @@ def _surveyor(k: int):
                     seen.add(p)
                     held.append(s)
                     size += len(s)
-            if size > 4_000_000:
+            if size > 1_500_000:
                 yield tokens(held)
                 held, size, seen = [], 0, set()
         if held:

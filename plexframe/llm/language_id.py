@@ -19,7 +19,7 @@ from .common import without
 DIMS = 512
 SEED = 61
 #: Code points of a text that are turned into trigrams at once.
-WINDOW = 1 << 18
+WINDOW = 1 << 17
 UNKNOWN = "und"
 
 
@@ -78,8 +78,8 @@ def _learner(dims: int, seed: int):
             codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([p[1] for p in parts]))
             total = sums.setdefault(lang, np.zeros(dims))
-            for i in range(0, len(codes), 8192):
-                total += counts[i : i + 8192] @ vectors(codes[i : i + 8192], dims, seed)
+            for i in range(0, len(codes), 4096):
+                total += counts[i : i + 4096] @ vectors(codes[i : i + 4096], dims, seed)
 
         for batch in batches:
             held: dict[str, tuple[list[str], list[int]]] = {}
@@ -87,7 +87,7 @@ def _learner(dims: int, seed: int):
                 texts, chars = held.setdefault(lang, ([], [0]))
                 texts.append(text.as_py())
                 chars[0] += len(texts[-1])
-                if chars[0] > 1 << 21:
+                if chars[0] > 1 << 20:
                     bundle(lang, held.pop(lang)[0])
             for lang, (texts, _) in held.items():
                 bundle(lang, texts)
@@ -141,7 +141,7 @@ def _predictor(names: list[str], prototypes: list[list[float]], dims: int, seed:
             langs, scores, i = [], [], 0
             while i < len(texts):
                 chunk, chars = [], 0  # by size, so that a batch of long texts stays small
-                while i < len(texts) and chars < 1 << 21 and len(chunk) < 512:
+                while i < len(texts) and chars < 1 << 19 and len(chunk) < 256:
                     chunk.append(texts[i].as_py())
                     chars += len(chunk[-1] or "")
                     i += 1

@@ -19,7 +19,7 @@ from .common import without
 
 SPACE = "▁"
 #: Segments, and pairs of pieces, that a task remembers.
-MEMO = 1_000_000
+MEMO = 500_000
 #: Positions after which a long run looks for a boundary to commit.
 LOOK = 256
 
@@ -82,7 +82,7 @@ class PieceModel:
         """Whether BPE keeps pieces a and b apart and whole when they stand side by side."""
         key = a << 20 | b
         if (known := self.valid.get(key)) is None:
-            if len(self.valid) > MEMO:
+            if len(self.valid) > MEMO // 2:
                 self.valid.clear()
             known = self.valid[key] = self.bpe(self.text[a] + self.text[b]) == [a, b]
         return known

@@ -21,7 +21,7 @@ from .common import utf8_bytes, without
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 10
 #: Counts of distinct runs that a task remembers.
-MEMO = 500_000
+MEMO = 800_000
 BLANK = " \t\n\r\x0b\x0c"
 
 
@@ -103,26 +103,28 @@ def _counter(path: str | None, chunk: int, overlap: int):
 
         tok, memo = tokenizer(path or vocabulary()), {"": 0}
         for batch in batches:
-            table = batch.to_pydict()
-            texts = [x or "" for x in table.pop("__text")]
-            counts = [count_huge(tok, x, chunk, overlap) if len(x) > chunk else None for x in texts]
-            runs: list[list[str] | None] = []
-            for x, n in zip(texts, counts, strict=True):
-                if n is None:
+            texts, n_tokens, i = batch.column("__text"), [], 0
+            while i < len(texts):
+                runs, held = [], 0  # by size, so that a batch of long texts stays small
+                while i < len(texts) and held < 1 << 20:
+                    x = texts[i].as_py() or ""
+                    i += 1
+                    held += len(x)
+                    if len(x) > chunk:
+                        runs.append(count_huge(tok, x, chunk, overlap))
+                        continue
                     for c in BLANK[1:]:
                         if c in x:
                             x = x.replace(c, " ")
-                runs.append(x.split(" ") if n is None else None)
-            fresh = list({w for r in runs if r for w in r if w not in memo})
-            if len(memo) + len(fresh) > MEMO:
-                memo = {"": 0}
-                fresh = list({w for r in runs if r for w in r if w})
-            for i in range(0, len(fresh), 20_000):
-                part = fresh[i : i + 20_000]
-                memo.update(zip(part, map(len, tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-            get = memo.__getitem__
-            table["n_tokens"] = [sum(map(get, r)) if r is not None else n for r, n in zip(runs, counts, strict=True)]
-            yield pa.RecordBatch.from_pydict(table, schema=pa.schema([*[f for f in batch.schema if f.name != "__text"], ("n_tokens", pa.int64())]))
+                    runs.append(x.split(" "))
+                fresh = list({w for r in runs if type(r) is list for w in r if w not in memo})
+                if len(memo) + len(fresh) > MEMO:
+                    memo = {"": 0}
+                    fresh = list({w for r in runs if type(r) is list for w in r if w})
+                memo.update(zip(fresh, map(len, tok.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
+                get = memo.__getitem__
+                n_tokens += [sum(map(get, r)) if type(r) is list else r for r in runs]
+            yield batch.drop_columns(["__text"]).append_column("n_tokens", pa.array(n_tokens, pa.int64()))
 
     return run
 
