@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 #: A table of narrow rows is broadcast up to this many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
+#: Bytes of rows that move to a Python worker at once.
+ARROW_BYTES = 1 << 20
+
 _own_folder: str | None = None
 
 
@@ -68,5 +72,18 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow with batches of at most ARROW_BYTES (one row at least), whatever the length of the texts.
+
+    Spark takes the bound from the session when it runs the plan, so the session keeps it; a smaller one stays.
+    """
+    conf = df.sparkSession.conf
+    stated = conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    have = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(stated)
+    if not 0 < have <= ARROW_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

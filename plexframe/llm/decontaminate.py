@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, sized
+from .common import Scratch, map_arrow, sized
 
 #: Tokens in a window. Shorter items are one window of their own length, down to LEAST tokens.
 WINDOW = 8
@@ -220,7 +220,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     items = benchmark.select(F.col(f"`{item}`").cast("long").alias("k"), F.col(f"`{item_text}`").cast("string").alias("t"))
-    items = items.mapInArrow(_item_windows, "item long, n long, w int, pos long, h long, slots array<string>").distinct()
+    items = map_arrow(items, _item_windows, "item long, n long, w int, pos long, h long, slots array<string>").distinct()
     windows = scratch.table(items.withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"}))
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).dropna()
     blocks = max(1, -(-windows.count() // BLOCK))
@@ -231,7 +231,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         known = np.sort(block.select("h").distinct().toPandas()["h"].to_numpy(np.int64))
         if len(known):
             widths = sorted(r["w"] for r in block.select("w").distinct().collect())
-            hits = hits.union(slim.mapInArrow(_finder(spark.sparkContext.broadcast((widths, known))), schema))
+            hits = hits.union(map_arrow(slim, _finder(spark.sparkContext.broadcast((widths, known))), schema))
     pair = "arrays_zip(item_slots, slots)"
     met = hits.join(sized(windows), "h").withColumn("shift", F.col("pos") - F.col("item_pos"))
     # an item's own length bounds what is gathered for an alignment

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, sized
+from .common import Scratch, map_arrow, sized
 
 #: Bytes of text whose shingles are computed at once.
 PIECE_BYTES = 1 << 20
@@ -273,7 +273,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("t"))
 
-    survey = scratch.table(slim.mapInArrow(_surveyor(k), "key long, n long, a long, b long"))
+    survey = scratch.table(map_arrow(slim, _surveyor(k), "key long, n long, a long, b long"))
     sets = survey.filter("n is not null")
     counts = scratch.table(survey.filter("n is null").groupBy("a").agg(F.sum("b").alias("df")).filter(F.col("df") >= HEAVY_FROM))
     least = HEAVY_FROM
@@ -301,7 +301,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     schema = "key long, n long, lists array<long>, wide array<long>, " + ", ".join(f"{m} long" for m in maps)
 
     def enter(heavy) -> DataFrame:
-        return slim.mapInArrow(_entries(k, num, den, bound, heavy), schema).join(sized(copies), "key", "left_anti")
+        return map_arrow(slim, _entries(k, num, den, bound, heavy), schema).join(sized(copies), "key", "left_anti")
 
     # the survey misses tokens that recur thinly; the lists they make are counted, and those tokens come last too
     first = enter(last(known, often)).select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("c"))
@@ -341,7 +341,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         overlap = F.ceil((F.col("nx") + F.col("ny")) * num / (num + den) - F.lit(1e-9))
         pairs = scratch.table(both.filter(differ <= F.col("nx") + F.col("ny") - 2 * overlap).select("x", "y"))
         ids = scratch.table(pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct())
-        whole = slim.join(sized(ids), "key", "left_semi").mapInArrow(_whole(k), "key long, tokens array<long>")
+        whole = map_arrow(slim.join(sized(ids), "key", "left_semi"), _whole(k), "key long, tokens array<long>")
         whole = scratch.table(whole.dropDuplicates(["key"]))
         x, y = (whole.select(F.col("key").alias(c), F.col("tokens").alias(f"t{c}")) for c in "xy")
         met = pairs.join(y, "y").join(x, "x")

@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import map_arrow, without
 
 DIMS = 512
 SEED = 61
@@ -81,16 +81,16 @@ def _learner(dims: int, seed: int):
             for i in range(0, len(codes), 4096):
                 total += counts[i : i + 4096] @ vectors(codes[i : i + 4096], dims, seed)
 
+        held: dict[str, tuple[list[str], list[int]]] = {}
         for batch in batches:
-            held: dict[str, tuple[list[str], list[int]]] = {}
             for text, lang in zip(batch.column("t"), batch.column("lang").to_pylist(), strict=True):
                 texts, chars = held.setdefault(lang, ([], [0]))
                 texts.append(text.as_py())
                 chars[0] += len(texts[-1])
                 if chars[0] > 1 << 20:
                     bundle(lang, held.pop(lang)[0])
-            for lang, (texts, _) in held.items():
-                bundle(lang, texts)
+        for lang, (texts, _) in held.items():
+            bundle(lang, texts)
         for lang, total in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang] * dims, "dim": np.arange(dims, dtype=np.int32), "v": total})
 
@@ -103,7 +103,7 @@ def learn(train: DataFrame, text: str = "text", lang: str = "lang", dims: int =
     Tasks send one vector a language; the driver gets languages x dims numbers, whatever the number of rows.
     """
     rows = train.select(F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{lang}`").cast("string").alias("lang")).dropna()
-    sums = rows.mapInArrow(_learner(dims, seed), "lang string, dim int, v double").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
+    sums = map_arrow(rows, _learner(dims, seed), "lang string, dim int, v double").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
     out: dict[str, list[float]] = {}
     for r in sums.collect():
         out.setdefault(r["lang"], [0.0] * dims)[r["dim"]] = r["v"]
@@ -169,7 +169,7 @@ def identify(docs: DataFrame, model: dict[str, list[float]], text: str = "text",
     slim = docs.select(*[F.col(f"`{c}`") for c in rest.columns], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "__text"], "lang_pred string", "score double"])
     names = sorted(model)
-    return slim.mapInArrow(_predictor(names, [model[n] for n in names], dims, seed), schema)
+    return map_arrow(slim, _predictor(names, [model[n] for n in names], dims, seed), schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -15,7 +15,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import map_arrow, without
 
 SPACE = "▁"
 #: Segments, and pairs of pieces, that a task remembers.
@@ -273,7 +273,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, check:
     rest = without(docs, text, *made).columns
     slim = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "__text"]
-    return slim.mapInArrow(_encoder(path, check), ", ".join([*fields, "ids array<int>", "n_ids long", *["round_trip boolean"] * check]))
+    return map_arrow(slim, _encoder(path, check), ", ".join([*fields, "ids array<int>", "n_ids long", *["round_trip boolean"] * check]))
 
 
 def _decoder(path: str | None):
@@ -293,4 +293,4 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> Dat
     rest = without(encoded, ids, "text").columns
     slim = encoded.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{ids}`").alias("__ids"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "__ids"]
-    return slim.mapInArrow(_decoder(path), ", ".join([*fields, "text string"]))
+    return map_arrow(slim, _decoder(path), ", ".join([*fields, "text string"]))

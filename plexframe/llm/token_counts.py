@@ -16,7 +16,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_bytes, without
+from .common import map_arrow, utf8_bytes, without
 
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 10
@@ -139,4 +139,4 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, l
     rest = without(docs, text, "n_bytes", "n_tokens", "over_limit").columns
     slim = docs.select(*[F.col(f"`{c}`") for c in rest], utf8_bytes(F.col(f"`{text}`")).alias("n_bytes"), F.col(f"`{text}`").cast("string").alias("__text"))
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "__text"], "n_tokens long"])
-    return slim.mapInArrow(_counter(path, chunk, overlap), schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return map_arrow(slim, _counter(path, chunk, overlap), schema).withColumn("over_limit", F.col("n_tokens") > limit)

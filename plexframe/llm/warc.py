@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, sized, utf8_bytes
+from .common import Scratch, map_arrow, sized, utf8_bytes
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of payload from which equal payloads are stored once.
@@ -100,7 +100,7 @@ def _writer(folder: str):
 
 def write_warc(rows: DataFrame, folder: str) -> DataFrame:
     """Write the rows of with_revisits as folder/part-N.warc.gz; return the manifest (file, size, n)."""
-    return Scratch(rows.sparkSession).table(rows.mapInArrow(_writer(folder), "file string, size long, n long"))
+    return Scratch(rows.sparkSession).table(map_arrow(rows, _writer(folder), "file string, size long, n long"))
 
 
 def _fields(head: bytes) -> dict[str, str]:
