@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,7 +82,24 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     have = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(stated)
     if not 0 < have <= ARROW_BYTES:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_tidied(run), schema)
+
+
+def _tidied(run: Callable) -> Callable:
+    """run, and then the worker gives freed memory back: workers are kept between tasks and stages."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return tidy
 
 
 def utf8_bytes(text: Column) -> Column:
