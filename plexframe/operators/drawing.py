@@ -44,6 +44,39 @@ def sphere(nodes: DataFrame, n: int, scale: float = 5.0) -> DataFrame:
     return nodes.withColumn("x", scale * r * F.cos(a)).withColumn("y", scale * r * F.sin(a)).withColumn("z", scale * z)
 
 
+def helix(nodes: DataFrame, n: int, scale: float = 5.0) -> DataFrame:
+    """A double helix: two turns up, even and odd places on opposite strands."""
+    levels = -(-n // 2)
+    t = F.floor(F.col("ord") / 2) / (levels - 1) if levels > 1 else F.lit(0.5)
+    a = t * (4 * math.pi) + (F.col("ord") % 2) * math.pi
+    return nodes.withColumn("x", 0.3 * scale * F.cos(a)).withColumn("y", 0.3 * scale * F.sin(a)).withColumn("z", t * scale * 2 - scale)
+
+
+# The seed of the random layout and the step of its generator.
+RANDOM_SEED, RANDOM_STEP = 0x5EED, 0x6D2B79F5
+_LOW32 = 0xFFFFFFFF
+
+
+def _times32(a: Column, b: Column) -> Column:
+    """The low 32 bits of a product, by halves of a so that no long overflows."""
+    high = F.shiftleft((F.shiftright(a, 16) * b).bitwiseAND(F.lit(0xFFFF)), 16)
+    return (high + a.bitwiseAND(F.lit(0xFFFF)) * b).bitwiseAND(F.lit(_LOW32))
+
+
+def draw(k: Column) -> Column:
+    """Draw number k (from 0) of the mulberry32 stream, in 0 to 1: its state is the seed and k + 1 steps."""
+    a = ((k + 1).bitwiseAND(F.lit(_LOW32)) * F.lit(RANDOM_STEP) + RANDOM_SEED).bitwiseAND(F.lit(_LOW32))
+    t = _times32(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1)))
+    u = (t + _times32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(_LOW32)).bitwiseXOR(t)
+    return u.bitwiseXOR(F.shiftright(u, 14)) / F.lit(4294967296.0)
+
+
+def scatter(nodes: DataFrame) -> DataFrame:
+    """Uniform over the unit square; a node takes two draws by its ord."""
+    k = F.col("ord").cast("long") * 2
+    return nodes.withColumn("x", draw(k)).withColumn("y", draw(k + 1))
+
+
 def radial(nodes: DataFrame) -> DataFrame:
     """Rings by depth; the places of a ring are its nodes in order of ord."""
     w = Window.partitionBy("depth")
@@ -80,3 +113,46 @@ def fans(edges: DataFrame, base: float) -> DataFrame:
     pair = [F.least("src_id", "dst_id"), F.greatest("src_id", "dst_id")]
     w = Window.partitionBy(*pair)
     return edges.withColumn("offset", base * (F.row_number().over(w.orderBy("id")) - 1 - (F.count("*").over(w) - 1) / 2))
+
+
+def stretched(edges: DataFrame, points: DataFrame) -> DataFrame:
+    """Edges with the centres of their ends and the length of the chord."""
+    end = lambda c, i: points.select(F.col("id").alias(c), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"))
+    both = edges.join(end("src_id", 0), "src_id").join(end("dst_id", 1), "dst_id")
+    return both.withColumn("length", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+
+
+def elbows(drawn: DataFrame, shape: str = "z") -> DataFrame:
+    """Right-angled bends of stretched edges: one at the target's x, or two at the chord's middle."""
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    mid = (F.col("x0") + F.col("x1")) / 2
+    bends = F.array(at(F.col("x1"), F.col("y0"))) if shape == "l" else F.array(at(mid, F.col("y0")), at(mid, F.col("y1")))
+    return drawn.withColumn("bends", bends)
+
+
+def ink(drawn: DataFrame) -> DataFrame:
+    """One row: how many edges are drawn, their length, and steps over mean length (1 without edges)."""
+    mean = F.avg("length")
+    ratio = F.when(F.count("*") == 0, 1.0).when(mean == 0, F.lit(float("inf"))).otherwise(1 / mean)
+    return drawn.agg(F.count("*").alias("edges"), F.sum("length").alias("length"), ratio.alias("stress_ratio"))
+
+
+def displacement(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: the mean way that the nodes of both drawings moved."""
+    old = before.select("id", F.col("x").alias("ox"), F.col("y").alias("oy"))
+    return old.join(after, "id").agg(F.avg(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))).alias("moved"))
+
+
+def nearest(points: DataFrame, probes: DataFrame, reach: float) -> DataFrame:
+    """(probe, id, away) of the nearest point within reach of each probe (probe, px, py); of equal ones the smallest id."""
+    p = points.select("id", "x", "y", cell(F.col("x"), reach).alias("cx"), cell(F.col("y"), reach).alias("cy"))
+    c = probes.select("probe", "px", "py", cell(F.col("px"), reach).alias("cx"), cell(F.col("py"), reach).alias("cy"))
+    around = F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(cx + i as cx, cy + j as cy))))")
+    met = p.join(c.select("probe", "px", "py", F.inline(around)), ["cx", "cy"]).withColumn("away", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")))
+    best = met.filter(F.col("away") <= reach).groupBy("probe").agg(F.min(F.struct("away", "id")).alias("b"))
+    return best.select("probe", "b.id", "b.away")
+
+
+def decimate(edges: DataFrame, stride: int) -> DataFrame:
+    """Every stride-th edge by ord."""
+    return edges.filter(F.col("ord") % max(stride, 1) == 0)

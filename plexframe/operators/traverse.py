@@ -37,19 +37,27 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int, way: str = "bo
     return seen
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that is reachable whatever the direction. Least labels with pointer jumps."""
-    both = written(edges.select("src_id", "dst_id").union(edges.select("dst_id", "src_id")).filter("src_id != dst_id").distinct())
-    labels = written(nodes.select("id", F.col("id").alias("component")))
+def least_labels(nodes: DataFrame, links: DataFrame, out: str = "component") -> DataFrame:
+    """(id, out): of a node and what leads to it along links (src_id, dst_id), the smallest id.
+
+    Each round takes the least label of the neighbours, then the label of that label, so long paths take few rounds.
+    """
+    labels = written(nodes.select("id", F.col("id").alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "src_id"), "src_id").groupBy(F.col("dst_id").alias("id")).agg(F.min("component").alias("near"))
-        nearer = labels.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("near"))
-        jump = labels.select(F.col("id").alias("near"), F.col("component").alias("far"))
-        new = written(nearer.join(jump, "near").select("id", F.col("component").alias("old"), F.least("near", "far").alias("component")))
-        changed = new.filter("old != component").limit(1).count()
-        labels = new.select("id", "component")
+        near = links.join(labels.withColumnRenamed("id", "src_id"), "src_id").groupBy(F.col("dst_id").alias("id")).agg(F.min("label").alias("near"))
+        nearer = labels.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("near"))
+        jump = labels.select(F.col("id").alias("near"), F.col("label").alias("far"))
+        new = written(nearer.join(jump, "near").select("id", F.col("label").alias("old"), F.least("near", "far").alias("label")))
+        changed = new.filter("old != label").limit(1).count()
+        labels = new.select("id", "label")
         if not changed:
-            return labels
+            return labels.withColumnRenamed("label", out)
+
+
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that is reachable whatever the direction."""
+    both = written(edges.select("src_id", "dst_id").union(edges.select("dst_id", "src_id")).filter("src_id != dst_id").distinct())
+    return least_labels(nodes, both)
 
 
 def shortest_paths(nodes: DataFrame, edges: DataFrame, source: str, rounds: int = 10_000) -> DataFrame:

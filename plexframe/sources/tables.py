@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexframe.functions import ids
+from plexframe.operators.traverse import written
 
 
 @dataclass
@@ -127,10 +128,39 @@ def edges(source: str, tables: Sequence[Table]) -> DataFrame:
     return first.select("id", "e.*")
 
 
+def _ranged(df: DataFrame, by: str, each) -> tuple[DataFrame, DataFrame]:
+    """df with the range of each row by `by`, and for each range what `each` sums up to before it.
+
+    The ranges come from a sample, so they are written once: rows and sums see the same ones, also after a lost executor.
+    """
+    rows = written(df.repartitionByRange(F.col(by)).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("__range").agg(each.alias("n"))
+    return rows, sums.select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+
+
 def dense(df: DataFrame, by: str, out: str = "ord") -> DataFrame:
     """Number the rows from 0 in the order of `by`, in parallel: ranges, places in them, and the ranges' offsets."""
-    ranged = df.repartitionByRange(F.col(by)).withColumn("__range", F.spark_partition_id())
-    ranged = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__range").orderBy(by)) - 1)
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("__range").agg(F.count("*").alias("n")).withColumn("__base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return ranged.join(F.broadcast(sizes), "__range").withColumn(out, (F.col("__at") + F.col("__base")).cast("long")).drop("__range", "__at", "__base")
+    rows, bases = _ranged(df, by, F.count("*"))
+    at = F.row_number().over(Window.partitionBy("__range").orderBy(by)) - 1
+    return rows.withColumn("__at", at).join(F.broadcast(bases), "__range").withColumn(out, (F.col("__at") + F.col("__base")).cast("long")).drop("__range", "__at", "__base")
+
+
+def running(df: DataFrame, by: str, cost: str, out: str = "running") -> DataFrame:
+    """The sum of cost up to each row in the order of `by`, in parallel like dense."""
+    rows, bases = _ranged(df, by, F.sum(cost))
+    here = F.sum(cost).over(Window.partitionBy("__range").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("__at", here).join(F.broadcast(bases), "__range").withColumn(out, F.col("__at") + F.col("__base")).drop("__range", "__at", "__base")
+
+
+def present_only(rows: DataFrame, key: str, refs: str, targets: DataFrame) -> DataFrame:
+    """rows with the array column refs less what is not in targets (id). A list that loses all is null; empty ones stay."""
+    each = rows.select(key, F.posexplode(refs).alias("__pos", "__ref")).join(targets.select(F.col("id").alias("__ref")), "__ref", "left_semi")
+    kept = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__pos", "__ref"))).alias("__kept"))
+    left = F.when(F.size(refs) == 0, F.col(refs)).otherwise(F.col("__kept.__ref"))
+    return rows.join(kept, key, "left").withColumn(refs, left).drop("__kept")
+
+
+def to_delete(stored: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that are stored but no longer wanted."""
+    return stored.select(key).join(wanted.select(key), key, "left_anti")
