@@ -102,7 +102,7 @@ def source_groups(spark, d):
     return scalars.slots(nodes_of(spark, d), "source", "place", most=4096, out="cluster").select("id", "cluster")
 
 
-@query("SELECT id, CASE WHEN len(kept) > 0 THEN array_to_string(kept, ',') END AS refs FROM (SELECT r_regionkey AS id, list_filter([r_regionkey, r_regionkey + 3, r_regionkey + 9], x -> list_contains((SELECT list(r_regionkey) FROM region), x)) AS kept FROM region)", graph=False)
+@query("WITH x AS (SELECT r_regionkey AS id, unnest([0, 1, 2]) AS pos, unnest([r_regionkey, r_regionkey + 3, r_regionkey + 9]) AS ref FROM region) SELECT id, string_agg(ref::VARCHAR, ',' ORDER BY pos) FILTER (ref IN (SELECT r_regionkey FROM region)) AS refs FROM x GROUP BY 1", graph=False)
 def dangling_cells(spark, d):
     r = _t(spark, d, "region").select(F.col("r_regionkey").alias("id"))
     rows = r.withColumn("refs", F.array(F.col("id"), F.col("id") + 3, F.col("id") + 9))
