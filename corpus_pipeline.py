@@ -11,7 +11,7 @@ from plexframe.llm.common import read, shared_folder
 from plexframe.llm.decontaminate import drop_leaks
 from plexframe.llm.jaccard_join import drop_near_copies
 from plexframe.llm.language_id import UNKNOWN, held_out, identify, learn
-from plexframe.llm.line_dedup import line_dedup
+from plexframe.llm.line_dedup import line_runs
 from plexframe.llm.pieces import encode
 
 
@@ -23,8 +23,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated line chunks go from the texts; every document stays, with its new length."""
-    out = line_dedup(docs)
+    """Repeated runs of lines go from the texts; every document stays, with its new length."""
+    out = line_runs(docs)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 

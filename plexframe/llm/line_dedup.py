@@ -3,7 +3,11 @@
 A rolling hash over the hashes of two neighbouring lines chooses where a chunk ends, so an insertion moves
 only the boundaries beside it. A line of more than LONG_WORDS words is a chunk of its own. Chunks of several
 lines, or of one such long line, that occur again anywhere in the corpus are compared byte by byte with their
-first occurrence and removed. DataFrame functions only.
+first occurrence and removed. `line_dedup` holds to that rule, as its SQL does.
+
+A chunk that crosses the edge of a repeated passage differs in every copy, so chunks leave part of it. `line_runs`
+does the whole job: it compares every two neighbouring lines, of which each chunk and each longer run is made, so
+every run of lines that stood before goes, wherever its edges are. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, sized
+from .common import Scratch, sized, without
 
 #: A chunk ends after a line with probability 1 / DIVISOR.
 DIVISOR = 3
@@ -71,3 +75,45 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor
     shown = [F.col("__r.t").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     count = F.when(t.isNull(), F.lit(0)).otherwise(F.col("__r.n")).cast("long")
     return made.select(*shown, count.alias("n_chunks"), F.col("__r.gone").cast("long").alias("n_removed"))
+
+
+def spans_of(text: str, long_words: int = LONG_WORDS) -> str:
+    """SQL for array<struct<a, b, body>>: two neighbouring lines with signs, and the blank ones between; long lines."""
+    pair = "named_struct('a', z, 'b', w[j + 1], 'body', array_join(slice(l, z + 1, w[j + 1] - z + 1), '\\n'))"
+    long = f"filter(w, i -> length(l[i]) - length(replace(l[i], ' ', '')) >= {long_words})"
+    both = f"concat(transform(slice(w, 1, greatest(size(w) - 1, 0)), (z, j) -> {pair}), transform({long}, i -> named_struct('a', i, 'b', i, 'body', l[i])))"
+    inner = _let("w", "filter(sequence(0, size(l) - 1), i -> l[i] rlike '\\\\S')", both)
+    return _let("l", f"split({text}, '\\n', -1)", inner)
+
+
+def line_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
+    """docs with every repeated run of lines removed from the text column; n_lines, n_removed (longs) added.
+
+    A run is two or more lines with signs in them (and the blank ones between), or one line of more than long_words
+    words, that stood before in the order of (key, line), here or in another document. A line never goes at its own
+    first place, so no line is lost to the corpus. A null text stays null and an empty one empty; rows with a null
+    key take no part; rows repeated with one key and text are one occurrence. Columns of docs named n_lines or
+    n_removed are replaced. An empty table stays empty.
+    """
+    scratch = Scratch(docs.sparkSession)
+    docs = without(docs, "n_lines", "n_removed", "__gone", "__id", "__v")
+    t = F.col(f"`{text}`").cast("string")
+    slim = docs.select(F.col(f"`{key}`").alias("id"), t.alias("t")).filter("id is not null and t is not null")
+    spans = (
+        slim.select("id", F.xxhash64("t").alias("v"), F.inline(F.expr(spans_of("t", long_words))))
+        .select("id", "v", "a", "b", "body", F.xxhash64("body").alias("h"), F.octet_length("body").alias("len"))
+    )
+    place = F.struct("id", "v", "a")
+    firsts = scratch.table(spans.groupBy("h", "len").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last"))
+    again = scratch.table(spans.join(sized(firsts), ["h", "len"]))
+    is_first = "id = first.id and v = first.v and a = first.a"
+    kept = scratch.table(again.filter(is_first).groupBy("h", "len").agg(F.first("body").alias("kept_body")))
+    same = again.filter(f"not ({is_first})").join(kept, ["h", "len"]).filter("body = kept_body")
+    lines = F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "b"))))
+    removed = scratch.table(same.groupBy(F.col("id").alias("__id"), F.col("v").alias("__v")).agg(lines.alias("__gone")))
+
+    joined = docs.join(sized(removed), (F.col(f"`{key}`") == F.col("__id")) & (F.xxhash64(t) == F.col("__v")), "left")
+    stay = F.expr(_let("l", f"split(cast(`{text}` as string), '\\n', -1)", "array_join(transform(array_except(sequence(0, size(l) - 1), __gone), i -> l[i]), '\\n')"))
+    shown = [F.when(F.col("__gone").isNotNull(), stay).otherwise(t).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    n = F.when(t.isNull(), 0).otherwise(F.size(F.split(t, "\n", -1))).cast("long")
+    return joined.select(*shown, n.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -11,7 +11,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .language_id import held_out, identify, learn
 from .license_scan import scan_licenses
-from .line_dedup import line_dedup
+from .line_dedup import line_dedup, line_runs
 from .pieces import encode
 from .sharding import rendezvous, shard_shuffle
 from .token_counts import count_tokens
@@ -59,6 +59,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8_line_dedup holds to the chunks of its SQL; this one takes whole runs, as the pipeline does."""
+    return line_runs(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -68,7 +73,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_shards, op2_language_id, op3_sentencepiece, op4_decontaminate, op5_exact_dedup, op6_license_scan, op7_jaccard_join, op8_line_dedup, op9_warc, op10_token_counts)}
+    return {f.__name__: f for f in (op1_shards, op2_language_id, op3_sentencepiece, op4_decontaminate, op5_exact_dedup, op6_license_scan, op7_jaccard_join, op8_line_dedup, op9_warc, op10_token_counts, op8_line_runs)}
 
 
 OP5_SQL = r"""
