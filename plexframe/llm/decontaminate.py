@@ -1,9 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become template tokens: numbers, names and units turn into typed placeholders, other words into their
-lower-case core. Windows of tokens are hash-joined between documents and benchmark items; along one alignment
-of an item with a document, every value that a placeholder stands for in the item has to map to one value in
-the document (and for names back again). So a question with other numbers or names is still caught.
+lower-case core; a run of names is one placeholder, and so is a number with its unit. Windows of tokens that
+stand in both a document and a benchmark item are the seeds. Around them the item is laid over the document at all
+shifts of a band that is as wide as the item is long, so words may be added, dropped or changed in between. Over
+the band every value that a placeholder stands for in the item has to map to one value in the document (and for
+names back again); tokens that disagree with the mapping do not count. So a question with other numbers or names
+is still caught.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ LEAST = 4
 BLOCK = 2_000_000
 #: The share of an item's windows that a document has to hold.
 COVERAGE = 0.5
+#: An edit moves what follows it by a few words; so far beside a seed's shift shorter stretches are looked for.
+SLACK = 3
 
 # Unit words that follow a number.
 UNITS = frozenset(
@@ -37,7 +42,7 @@ EDGE = "\"'`.,;:!?()[]{}<>*_|«»“”‘’…-–—"
 CLOSING = "\"')]”’»"
 #: Words whose reading a task remembers.
 MEMO = 300_000
-LITERAL, NUM, NAME, UNIT, SKIP = range(5)
+LITERAL, NUM, NAME, MEASURE, SKIP = range(5)
 
 
 def _reading(word: str) -> tuple[int, str, bool, bool]:
@@ -58,6 +63,10 @@ def _reading(word: str) -> tuple[int, str, bool, bool]:
     return LITERAL, low, core[0].isupper(), ends
 
 
+def _digest(label: str) -> int:
+    return xxhash.xxh3_64_intdigest(label) - (1 << 63)
+
+
 class Canon:
     """Turns texts into template tokens, remembering words."""
 
@@ -66,17 +75,17 @@ class Canon:
 
     def clear(self):
         self.at: dict[str, int] = {}
-        self.core: list[str] = []
-        self.rows: list[tuple[int, int, bool, bool, bool]] = []  # not yet in arrays
+        self.rows: list[tuple] = []  # not yet in arrays
         self.arrays: list = []
 
     def _add(self, word: str) -> int:
         kind, core, capital, ends = _reading(word)
-        glued = kind == NUM and not core[-1].isdigit() and core[-1] != "%"
-        label = f"\x00{NUM}{GLUED.fullmatch(core)[2] if glued else ''}" if kind == NUM else core
-        self.rows.append((kind, xxhash.xxh3_64_intdigest(label) - (1 << 63), capital, ends, core in UNITS))
-        self.core.append(core)
-        i = self.at[word] = len(self.core) - 1
+        number, unit = core, ""
+        if kind == NUM and (m := GLUED.fullmatch(core)):
+            number, unit = m.groups()
+        closed = ends or kind == SKIP or not word[-1].isalnum()
+        self.rows.append((kind, _digest(core), _digest(number), _digest(unit) if unit else 0, capital, ends, core in UNITS, closed))
+        i = self.at[word] = len(self.at)
         return i
 
     def tokens(self, text: str):
@@ -88,96 +97,237 @@ class Canon:
         return np.fromiter((at[w] if w in at else add(w) for w in words), np.int64, len(words))
 
     def table(self):
-        """kind, hash, capital, ends and unit of every word so far, as arrays."""
+        """kind, hashes of core, number and unit, capital, ends, unit and closed of every word so far, as arrays."""
         import numpy as np
 
         if self.rows:
-            new = [np.array(x, t) for x, t in zip(zip(*self.rows, strict=True), (np.int8, np.int64, bool, bool, bool), strict=True)]
+            types = (np.int8, np.int64, np.int64, np.int64, bool, bool, bool, bool)
+            new = [np.array(x, t) for x, t in zip(zip(*self.rows, strict=True), types, strict=True)]
             self.arrays = [np.concatenate(x) for x in zip(self.arrays, new, strict=True)] if self.arrays else new
             self.rows = []
         return self.arrays
 
 
-def _canonical(texts: list[str], canon: Canon) -> list[tuple]:
-    """(hashes, kinds, word ids) for each text."""
+def _sequences(texts: list[str], canon: Canon) -> list[tuple]:
+    """The tokens of all texts end to end, for each kind of sequence: text, value, plain, and the slots a and b.
+
+    a is what a name or number stands for, b the unit; 0 is none.
+    """
     import numpy as np
 
     ids = [canon.tokens(t) for t in texts]
-    if not canon.core:
-        return [(np.zeros(0, np.int64), np.zeros(0, np.int8), x) for x in ids]
-    kind, h, capital, ends, unit = canon.table()
-    marks = {k: xxhash.xxh3_64_intdigest(f"\x00{k}") - (1 << 63) for k in (NAME, UNIT)}
-    out = []
-    for x in ids:
-        if not len(x):
-            out.append((np.zeros(0, np.int64), np.zeros(0, np.int8), x))
-            continue
-        k, v, end = kind[x].copy(), h[x].copy(), ends[x]
-        begin = np.concatenate(([True], end[:-1]))
-        name = (k == LITERAL) & capital[x] & ~begin
-        after = np.concatenate(([False], k[:-1] == NUM))
-        measure = unit[x] & after
-        k[name], v[name] = NAME, marks[NAME]
-        k[measure], v[measure] = UNIT, marks[UNIT]
-        keep = k != SKIP
-        out.append((v[keep], k[keep], x[keep]))
-    return out
-
-
-def _rolled(h, kinds, w: int):
-    """Hashes of the windows of w tokens, and which of them have enough plain words to tell anything."""
+    x = np.concatenate([np.zeros(0, np.int64), *ids])
+    if not len(x):
+        return []
+    doc = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+    kind, core, number, glued, capital, ends, unit, closed = canon.table()
+    first = np.concatenate(([True], doc[1:] != doc[:-1]))
+    begin, fresh = first.copy(), first.copy()
+    begin[1:] |= ends[x[:-1]]
+    fresh[1:] |= closed[x[:-1]]
+    name = (kind[x] == LITERAL) & capital[x] & ~begin
+    keep = kind[x] != SKIP
+    x, doc, name, fresh = x[keep], doc[keep], name[keep], fresh[keep]
+    if not len(x):
+        return []
+    k, lit, g = kind[x], core[x], glued[x]
+    same = np.concatenate(([False], doc[1:] == doc[:-1]))
+    joins = name & same & ~fresh
+    joins[1:] &= name[:-1]
+    measure = unit[x] & same
+    measure[1:] &= (k[:-1] == NUM) & (g[:-1] == 0)
+    lead = ~(joins | measure)
+    at = np.flatnonzero(lead)
+    place = np.arange(len(x)) - at[np.cumsum(lead) - 1]
+    a = np.add.reduceat(np.where(name, lit * (2 * place + 1), np.where(k == NUM, number[x], 0)), at)
+    b = np.add.reduceat(np.where(measure, lit, np.where(k == NUM, g, 0)), at)
+    v, k = lit[at], k[at]
+    plain = (k == LITERAL) & ~name[at]
+    v[name[at]] = _digest(f"\x00{NAME}")
+    v[k == NUM] = _digest(f"\x00{NUM}")
+    v[(k == NUM) & (b != 0)] = _digest(f"\x00{MEASURE}")
+    return [(doc[at], v, plain, a, b)]
+
+
+def _rolled(doc, v, plain, w: int, kind: int):
+    """Hashes of the windows of w tokens, and which of them lie in one text and have enough plain words."""
     import numpy as np
 
-    n = len(h) - w + 1
+    n = len(v) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    with np.errstate(over="ignore"):
-        u = h.view(np.uint64)
-        out = np.full(n, w, np.uint64)
-        for j in range(w):
-            out = (out ^ u[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-    plain = np.concatenate(([0], np.cumsum(kinds == LITERAL)))
-    return out.view(np.int64), 2 * (plain[w:] - plain[:-w]) >= w
-
-
-def _slots(canon: Canon, kinds, ids, p: int, w: int) -> list[str]:
-    """The values of a window's placeholders, with their types."""
-    return [f"{kinds[i]}:{canon.core[ids[i]]}" for i in range(p, p + w) if kinds[i] != LITERAL]
 
-
-def _item_windows(batches: Iterator) -> Iterator:
-    """All windows of the items: item, n (windows of the item), w, pos, h, slots."""
+    def mix(x, y):
+        z = (x * np.uint64(0x9E3779B97F4A7C15)) ^ y
+        z ^= z >> np.uint64(29)
+        z *= np.uint64(0xBF58476D1CE4E5B9)
+        return z ^ (z >> np.uint64(32))
+
+    part, out, place, size = v.view(np.uint64), np.full(n, 16 * w + kind, np.uint64), 0, 1
+    while size <= w:  # windows of 1, 2, 4, ... tokens; w is a sum of such sizes
+        if w & size:
+            out = mix(out, part[place : place + n])
+            place += size
+        part = mix(part[:-size], part[size:])
+        size *= 2
+    many = np.concatenate(([0], np.cumsum(plain)))
+    return out.view(np.int64), (doc[:n] == doc[w - 1 :]) & (2 * (many[w:] - many[:-w]) >= w)
+
+
+def _item_tokens(batches: Iterator) -> Iterator:
+    """The sequences of the items: item, kind (of sequence), v, plain, a, b."""
+    import numpy as np
     import pyarrow as pa
 
     canon = Canon()
     for batch in batches:
         keys = batch.column(0).to_pylist()
-        out: dict[str, list] = {c: [] for c in ("item", "n", "w", "pos", "h", "slots")}
-        for key, (h, kinds, ids) in zip(keys, _canonical([t or "" for t in batch.column(1).to_pylist()], canon), strict=True):
-            w = min(WINDOW, len(h))
-            if w < LEAST or key is None:
-                continue
-            rolled, telling = _rolled(h, kinds, w)
-            for p in telling.nonzero()[0].tolist():
-                row = (key, int(telling.sum()), w, p, int(rolled[p]), _slots(canon, kinds, ids, p, w))
-                for c, v in zip(out, row, strict=True):
-                    out[c].append(v)
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+        out: dict[str, list] = {c: [] for c in ("item", "kind", "v", "plain", "a", "b")}
+        for kind, (doc, *parts) in enumerate(_sequences([t or "" for t in batch.column(1).to_pylist()], canon)):
+            cuts = np.searchsorted(doc, np.arange(len(keys) + 1))
+            for key, lo, hi in zip(keys, cuts[:-1], cuts[1:], strict=True):
+                if key is not None and hi - lo >= LEAST:
+                    for c, x in zip(out, (key, kind, *[p[lo:hi] for p in parts]), strict=True):
+                        out[c].append(x)
+        types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), types, strict=True)})
 
 
-def _finder(wanted):
-    """The windows of documents whose hashes are wanted: key, pos, h, slots."""
+def _index(rows: list) -> tuple:
+    """The items of a block, and by hash of a window: its item's place among them and its place in the item."""
+    import numpy as np
+
+    items, shapes = [], {}
+    for r in rows:
+        v, plain, a, b = (np.array(r[c], t) for c, t in (("v", np.int64), ("plain", bool), ("a", np.int64), ("b", np.int64)))
+        w = min(WINDOW, len(v))
+        shapes.setdefault((r["kind"], w), []).append(len(items))
+        items.append([r["item"], r["kind"], w, v, plain, a, b, None])
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    for (kind, w), own in shapes.items():
+        lens = [len(items[i][3]) for i in own]
+        doc = np.repeat(np.array(own), lens)
+        h, telling = _rolled(doc, np.concatenate([items[i][3] for i in own]), np.concatenate([items[i][4] for i in own]), w, kind)
+        starts = np.concatenate(([0], np.cumsum(lens)))[:-1]
+        for i, s, n in zip(own, starts, lens, strict=True):
+            items[i][7] = telling[s : s + n - w + 1]
+        at = np.flatnonzero(telling)
+        pos = at - np.repeat(starts, lens)[at]
+        found.append((h[at], doc[at].astype(np.int32), pos.astype(np.int32)))
+    h, row, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(h, kind="stable")
+    return items, sorted(shapes), h[order], row[order], pos[order]
+
+
+def _stretches(eq, w: int):
+    """The true cells of eq that lie in w or more of them side by side, and where w of them begin."""
+    import numpy as np
+
+    c = np.cumsum(np.pad(eq, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+    full = c[:, w:] - c[:, :-w] == w
+    out = np.zeros_like(eq)
+    for j in range(w):
+        out[:, j : j + full.shape[1]] |= full
+    return out, full
+
+
+def _agreed(eq, strong, item, mine, theirs, names: bool):
+    """eq less the cells whose slot disagrees with the mapping that most cells support."""
+    import numpy as np
+
+    at = np.nonzero(eq & (mine != 0))
+    pairs = list(zip(mine[at[1]].tolist(), theirs[at].tolist(), strict=True))
+    if all(x == y for x, y in pairs):
+        return eq
+    votes: dict[tuple, int] = {}
+    for pair, s in zip(pairs, strong[at].tolist(), strict=True):
+        votes[pair] = votes.get(pair, 0) + (eq.shape[1] if s else 1)
+    called = set(mine[item == _digest(f"\x00{NAME}")].tolist()) if names else set()
+    to: dict[int, int] = {}
+    taken: dict[int, int] = {}
+    for x, y in sorted(votes, key=lambda p: -votes[p]):  # ties: the first in the item
+        if x not in to and not (x in called and y in taken):
+            to[x] = y
+            if x in called:
+                taken[y] = x
+    eq = eq.copy()
+    wrong = np.array([to.get(x) != y for x, y in pairs], bool)
+    eq[at[0][wrong], at[1][wrong]] = False
+    return eq
+
+
+def _held(v, a, b, item: list, shifts) -> tuple[int, bool]:
+    """How many telling windows of the item the text holds within the best band of shifts; whether slots differ.
+
+    A window is held if all its tokens but one stand in agreeing stretches of LEAST tokens or more, of which one
+    is a whole telling window.
+    """
+    import numpy as np
+
+    _, _, w, iv, _, ia, ib, telling = item
+    size, best = len(iv), (0, False)
+    shifts = np.unique(shifts)
+    until = np.searchsorted(shifts, shifts + size, "right")
+    for i in np.flatnonzero(np.concatenate(([True], until[1:] > until[:-1]))).tolist():
+        near = np.unique((shifts[i : until[i], None] + np.arange(-SLACK, SLACK + 1)).ravel())
+        cells = near[:, None] + np.arange(size)
+        inside = (cells >= 0) & (cells < len(v))
+        cells = np.where(inside, cells, 0)
+        eq, _ = _stretches(inside & (v[cells] == iv), LEAST)
+        strong, _ = _stretches(eq, w)
+        eq = _agreed(_agreed(eq, strong, iv, ia, a[cells], True), strong, iv, ib, b[cells], False)
+        eq, _ = _stretches(eq, LEAST)
+        if not (_stretches(eq, w)[1] & telling).any():
+            continue
+        gaps = np.concatenate(([0], np.cumsum(~eq.any(axis=0))))
+        n = int((telling & (gaps[w:] - gaps[:-w] <= 1)).sum())
+        changed = bool((eq & ((a[cells] != ia) | (b[cells] != ib))).any())
+        best = max(best, (n, changed), key=lambda x: (x[0], not x[1]))
+        if best == (int(telling.sum()), False):
+            break
+    return best
+
+
+def _finder(wanted, coverage: float):
+    """The items that documents hold: key, item, kind, n, n_matched, changed."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        widths, known = wanted.value
+        items, shapes, known, row, pos = wanted.value
         sieve = np.zeros(1 << 22, bool)
         sieve[known & (len(sieve) - 1)] = True
+        names = ("key", "item", "kind", "n", "n_matched", "changed")
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
         canon = Canon()
+
+        def look(keys: list, texts: list[str]) -> list[tuple]:
+            out, sequences = [], _sequences(texts, canon)
+            for kind, w in shapes:
+                if kind >= len(sequences):
+                    continue
+                doc, v, plain, a, b = sequences[kind]
+                h, telling = _rolled(doc, v, plain, w, kind)
+                maybe = np.flatnonzero(sieve[h & (len(sieve) - 1)] & telling)
+                lo = np.searchsorted(known, h[maybe])
+                many = np.searchsorted(known, h[maybe], "right") - lo
+                at = np.repeat(maybe, many)
+                if not len(at):
+                    continue
+                entry = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+                d, r, shift = doc[at], row[entry], at - pos[entry]
+                order = np.lexsort((r, d))
+                d, r, shift = d[order], r[order], shift[order]
+                cuts = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (r[1:] != r[:-1]), [True])))
+                for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    s, e = np.searchsorted(doc, [d[i], d[i] + 1])
+                    item = items[r[i]]
+                    n, (m, changed) = int(item[7].sum()), _held(v[s:e], a[s:e], b[s:e], item, shift[i:j] - s)
+                    if m and m >= n * coverage:
+                        out.append((keys[d[i]], item[0], kind, n, m, changed))
+            return out
+
         for batch in batches:
             keys, texts, i = batch.column(0).to_pylist(), batch.column(1), 0
             while i < len(keys):
@@ -185,24 +335,12 @@ def _finder(wanted):
                 while i + len(part) < len(keys) and held < 1 << 20:
                     part.append(texts[i + len(part)].as_py() or "")
                     held += len(part[-1])
-                if len(canon.core) > MEMO:
+                if len(canon.at) > MEMO:
                     canon.clear()
-                out: dict[str, list] = {c: [] for c in ("key", "pos", "h", "slots")}
-                for key, (h, kinds, ids) in zip(keys[i : i + len(part)], _canonical(part, canon), strict=True):
-                    for w in widths:
-                        rolled, telling = _rolled(h, kinds, w)
-                        maybe = np.flatnonzero(sieve[rolled & (len(sieve) - 1)] & telling)
-                        if len(maybe):
-                            at = np.minimum(np.searchsorted(known, rolled[maybe]), len(known) - 1)
-                            for p in maybe[known[at] == rolled[maybe]].tolist():
-                                out["key"].append(key)
-                                out["pos"].append(p)
-                                out["h"].append(int(rolled[p]))
-                                out["slots"].append(_slots(canon, kinds, ids, p, w))
+                out = look(keys[i : i + len(part)], part)
                 i += len(part)
-                if out["key"]:
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
-                    yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), types, strict=True)})
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return run
 
@@ -210,39 +348,24 @@ def _finder(wanted):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """One row per (key, item) where the document holds the item: n_windows, n_matched (longs), reparameterised.
 
-    A document holds an item if, along one alignment, at least `coverage` of the item's windows stand in it with
-    consistent slots; reparameterised says that some slot's value differs. Windows with fewer plain words than
-    placeholders are no evidence; items of fewer than LEAST tokens have none. Null texts and items hold nothing;
-    null keys are ignored. Rows repeated with one key and text count once. Other columns are not read. With an
-    empty table on either side the result is empty.
+    A document holds an item if, over one band of neighbouring shifts, at least `coverage` of the item's windows
+    stand in it with consistent slots; reparameterised says that some slot's value differs. Windows with fewer plain
+    words than placeholders are no evidence; items of fewer than LEAST tokens have none. Null texts and items hold
+    nothing; null keys are ignored. Rows repeated with one key and text count once. Other columns are not read. With
+    an empty table on either side the result is empty.
     """
-    import numpy as np
-
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    items = benchmark.select(F.col(f"`{item}`").cast("long").alias("k"), F.col(f"`{item_text}`").cast("string").alias("t"))
-    items = map_arrow(items, _item_windows, "item long, n long, w int, pos long, h long, slots array<string>").distinct()
-    windows = scratch.table(items.withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"}))
+    items = benchmark.select(F.col(f"`{item}`").cast("long").alias("k"), F.col(f"`{item_text}`").cast("string").alias("t")).dropna()
+    tokens = scratch.table(map_arrow(items, _item_tokens, "item long, kind int, v array<long>, plain array<boolean>, a array<long>, b array<long>"))
+    blocks = max(1, -(-(tokens.agg(F.sum(F.size("v"))).first()[0] or 0) // BLOCK))
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).dropna()
-    blocks = max(1, -(-windows.count() // BLOCK))
-    schema = "key long, pos long, h long, slots array<string>"
-    hits = spark.createDataFrame([], schema)
-    for b in range(blocks):  # the benchmark is the stated query set
-        block = windows.filter(F.pmod("h", F.lit(blocks)) == b)
-        known = np.sort(block.select("h").distinct().toPandas()["h"].to_numpy(np.int64))
-        if len(known):
-            widths = sorted(r["w"] for r in block.select("w").distinct().collect())
-            hits = hits.union(map_arrow(slim, _finder(spark.sparkContext.broadcast((widths, known))), schema))
-    pair = "arrays_zip(item_slots, slots)"
-    met = hits.join(sized(windows), "h").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    # an item's own length bounds what is gathered for an alignment
-    lines = met.groupBy("key", "item", "n", "shift").agg(
-        F.count_distinct("item_pos").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set(F.expr(pair)))).alias("pairs")
-    )
-    froms, names = "array_distinct(transform(pairs, p -> p.item_slots))", f"filter(pairs, p -> startswith(p.item_slots, '{NAME}:'))"
-    fits = F.expr(f"size(pairs) = size({froms}) and size({names}) = size(array_distinct(transform({names}, p -> p.slots)))")
-    lines = lines.filter(fits & (F.col("n_matched") >= F.col("n") * coverage))
-    changed = F.expr("exists(pairs, p -> p.item_slots != p.slots)")
-    best = lines.groupBy("key", "item").agg(F.max(F.struct("n_matched", (~changed).alias("same"), "n")).alias("b"))
+    schema = "key long, item long, kind int, n long, n_matched long, changed boolean"
+    lines = spark.createDataFrame([], schema)
+    for i in range(blocks):  # the benchmark is the stated query set
+        block = tokens.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == i).collect()
+        if block:
+            lines = lines.union(map_arrow(slim, _finder(spark.sparkContext.broadcast(_index(block)), coverage), schema))
+    best = lines.groupBy("key", "item").agg(F.max(F.struct(F.expr("n_matched / n"), (-F.col("kind")).alias("kind"), (~F.col("changed")).alias("same"), "n_matched", "n")).alias("b"))
     return best.select(F.col("key").alias(key), F.col("item").alias(item), F.col("b.n").alias("n_windows"), F.col("b.n_matched").alias("n_matched"), (~F.col("b.same")).alias("reparameterised"))
 
 
