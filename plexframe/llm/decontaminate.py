@@ -6,7 +6,8 @@ stand in both a document and a benchmark item are the seeds. Around them the ite
 shifts of a band that is as wide as the item is long, so words may be added, dropped or changed in between. Over
 the band every value that a placeholder stands for in the item has to map to one value in the document (and for
 names back again); tokens that disagree with the mapping do not count. So a question with other numbers or names
-is still caught.
+is still caught. The same is done with the plain lower-case words, so that a copy is caught whatever its case and
+however many of its words are placeholders.
 """
 
 from __future__ import annotations
@@ -36,6 +37,24 @@ UNITS = frozenset(
     "ml l litre litres liter liters gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years "
     "dollar dollars cent cents euro euros percent degree degrees kmh mph".split()
 )
+# Words that are no name although a capital begins them at the start of a sentence.
+COMMON = frozenset(
+    "a about after all also although altogether among an and another any anyone are as assume at because before besides both but by calculate can "
+    "choose compare compute consider consequently could decide define derive describe determine did do does draw during each either estimate "
+    "evaluate even every everyone evidently explain express few finally find first five for four from furthermore give given had half has have "
+    "he hence her here hers him his how however i if imagine in initially instead is it its later least let list many meanwhile more most much "
+    "my name neither next no nobody none nor not note now of on once one only or other our out over per perhaps please prove ten than that the "
+    "their them then there therefore these they this those though three through thus to today together tomorrow two under until up use usually "
+    "using we were what when where whereas whether which while who whole whom whose why with within without would write yesterday yet you "
+    "your six seven eight nine she so some someone soon still such suppose solve show simplify since was be been being "
+    "aber als am an auch auf aus bei bis da das dass dem den der des die dies diese dieser dieses doch du ein eine einem einen einer er es für hat "
+    "ich ihr im in ist ja jede jeder man mit nach nicht noch nun nur oder ob sein seine sich sie sind so um und uns unter vom von vor wann war "
+    "warum was wenn wer werden wie wieviel wir wird wo zu zum zur "
+    "à au aux avec ce ces cette combien comme comment dans de des donc du elle elles en est et il ils je la le les leur lui mais nous on où ou "
+    "par pas pour pourquoi quand que quel quelle qui sa sans se ses si son sont sur tu un une vous "
+    "como con cómo cuando cuál cuándo cuánto cuántos de del desde dónde el ella ellos en entre era es esa ese esta este está hay la las lo los "
+    "más muy ni no o para pero por porque qué quién se ser si sin sobre son su sus también tan tiene todo todos un una unas unos y ya yo".split()
+)
 NUMBER = re.compile(r"[$€£]?[+-]?\d[\d,]*(?:\.\d+)?%?")
 GLUED = re.compile(r"([$€£]?[+-]?\d[\d,]*(?:\.\d+)?)([a-z]+)")
 EDGE = "\"'`.,;:!?()[]{}<>*_|«»“”‘’…-–—"
@@ -43,6 +62,8 @@ CLOSING = "\"')]”’»"
 #: Words whose reading a task remembers.
 MEMO = 300_000
 LITERAL, NUM, NAME, MEASURE, SKIP = range(5)
+#: Kinds of sequences: template tokens, and plain lower-case words.
+TEMPLATE, WORDS = range(2)
 
 
 def _reading(word: str) -> tuple[int, str, bool, bool]:
@@ -84,7 +105,8 @@ class Canon:
         if kind == NUM and (m := GLUED.fullmatch(core)):
             number, unit = m.groups()
         closed = ends or kind == SKIP or not word[-1].isalnum()
-        self.rows.append((kind, _digest(core), _digest(number), _digest(unit) if unit else 0, capital, ends, core in UNITS, closed))
+        name = kind == LITERAL and capital
+        self.rows.append((kind, _digest(core), _digest(number), _digest(unit) if unit else 0, name, name and core not in COMMON, ends, core in UNITS, closed))
         i = self.at[word] = len(self.at)
         return i
 
@@ -97,11 +119,11 @@ class Canon:
         return np.fromiter((at[w] if w in at else add(w) for w in words), np.int64, len(words))
 
     def table(self):
-        """kind, hashes of core, number and unit, capital, ends, unit and closed of every word so far, as arrays."""
+        """kind, hashes of core, number and unit, name in or at the start of a sentence, ends, unit, closed of every word so far, as arrays."""
         import numpy as np
 
         if self.rows:
-            types = (np.int8, np.int64, np.int64, np.int64, bool, bool, bool, bool)
+            types = (np.int8, np.int64, np.int64, np.int64, bool, bool, bool, bool, bool)
             new = [np.array(x, t) for x, t in zip(zip(*self.rows, strict=True), types, strict=True)]
             self.arrays = [np.concatenate(x) for x in zip(self.arrays, new, strict=True)] if self.arrays else new
             self.rows = []
@@ -120,12 +142,12 @@ def _sequences(texts: list[str], canon: Canon) -> list[tuple]:
     if not len(x):
         return []
     doc = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-    kind, core, number, glued, capital, ends, unit, closed = canon.table()
+    kind, core, number, glued, inner, outer, ends, unit, closed = canon.table()
     first = np.concatenate(([True], doc[1:] != doc[:-1]))
     begin, fresh = first.copy(), first.copy()
     begin[1:] |= ends[x[:-1]]
     fresh[1:] |= closed[x[:-1]]
-    name = (kind[x] == LITERAL) & capital[x] & ~begin
+    name = np.where(begin, outer[x], inner[x])
     keep = kind[x] != SKIP
     x, doc, name, fresh = x[keep], doc[keep], name[keep], fresh[keep]
     if not len(x):
@@ -146,7 +168,8 @@ def _sequences(texts: list[str], canon: Canon) -> list[tuple]:
     v[name[at]] = _digest(f"\x00{NAME}")
     v[k == NUM] = _digest(f"\x00{NUM}")
     v[(k == NUM) & (b != 0)] = _digest(f"\x00{MEASURE}")
-    return [(doc[at], v, plain, a, b)]
+    none = np.zeros(len(x), np.int64)
+    return [(doc[at], v, plain, a, b), (doc, lit, np.ones(len(x), bool), none, none)]  # TEMPLATE, WORDS
 
 
 def _rolled(doc, v, plain, w: int, kind: int):
@@ -349,8 +372,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """One row per (key, item) where the document holds the item: n_windows, n_matched (longs), reparameterised.
 
     A document holds an item if, over one band of neighbouring shifts, at least `coverage` of the item's windows
-    stand in it with consistent slots; reparameterised says that some slot's value differs. Windows with fewer plain
-    words than placeholders are no evidence; items of fewer than LEAST tokens have none. Null texts and items hold
+    stand in it: windows of its template with consistent slots, or windows of its plain words. The counts are those
+    of the sequence of which more is held; reparameterised says that some slot's value differs. Template windows with
+    fewer plain words than placeholders are no evidence; items of fewer than LEAST tokens have none. Null texts and items hold
     nothing; null keys are ignored. Rows repeated with one key and text count once. Other columns are not read. With
     an empty table on either side the result is empty.
     """

@@ -34,7 +34,7 @@ def test_edited_copies(spark, items):
     for name, texts in edits.items():
         out = found(spark, texts, items)
         missed = [i for i in range(len(items)) if (i, i) not in out]
-        assert len(missed) <= (name == "dropped"), (name, missed)
+        assert not missed, (name, missed)
         assert all(i == j for i, j in out), name
 
 
@@ -50,3 +50,20 @@ def test_longer_names_and_units(spark):
 def test_a_part_is_no_copy(spark):
     words = STORY.split()
     assert not found(spark, [" ".join(words[:12]), " ".join(words[14:24]), " ".join(sorted(words))], [STORY])
+
+
+def test_case_does_not_hide_a_copy(spark, items):
+    for change in (str.upper, str.lower, str.title):
+        out = found(spark, [host(change(t)) for t in items], items)
+        assert {(i, i) for i in range(len(items))} == set(out), change
+    dense = "What did Anna Berg, Otto Lund, Rita Holm, 12 Finns, 40 Swedes and Olaf Strand tell Karl Dahl?"
+    assert set(found(spark, [host(dense), host(dense.upper())], [dense])) == {(0, 0), (1, 0)}
+
+
+def test_names_that_begin_a_sentence(spark):
+    item = "Tom has 12 apples and 5 oranges. Tom gives 3 apples to Mary and eats 2 oranges. Mary then gives Tom 4 pears. How many pieces of fruit does Tom have now?"
+    other = item
+    for x, y in (("Tom", "Hugo"), ("Mary", "Lena"), ("12", "31"), ("5", "17"), ("3", "6"), ("2", "8"), ("4", "9")):
+        other = other.replace(x, y) if x.isalpha() else other.replace(f" {x} ", f" {y} ")
+    out = found(spark, [host(item), host(other)], [item])
+    assert {k: r.reparameterised for k, r in out.items()} == {(0, 0): False, (1, 0): True}
