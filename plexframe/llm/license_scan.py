@@ -19,14 +19,18 @@ CONTAINMENT = 0.8
 
 # Notices by license, as they are written in public texts.
 TEMPLATES = {
+    "agpl-header": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-header": "you can redistribute it and/or modify it under the terms of the GNU General Public License",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "lgpl-header": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
     "mit": "Released under the MIT License.",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -83,7 +87,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
     t = F.col(f"`{text}`").cast("string")
     some = docs.filter(t.rlike("(?i)" + "|".join(need))).select(F.col(f"`{key}`").alias("key"), F.split(F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " ")), " ").alias("all"))
     shape = F.array(*[F.struct(F.lit(n).alias("length"), F.lit(s).alias("stride")) for n, s in sorted(shapes.items())])
-    some = some.select("key", "all", F.inline(shape)).filter("size(all) >= length - 1")
+    some = some.select("key", "all", F.inline(shape)).filter(f"size(all) >= {shingle}")
     some = some.select("key", "length", "all", "stride", F.explode(F.expr("sequence(0, size(all) - 1, stride)")).alias("at"))
     cut = some.select("key", "length", "at", F.expr("slice(all, at + 1, length + stride - 1)").alias("w"))
     cut = cut.filter(F.arrays_overlap("w", F.array(*map(F.lit, need)))).filter(F.size("w") >= shingle)
