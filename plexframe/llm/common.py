@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,20 +17,35 @@ BROADCAST_ROWS = 500_000
 #: Bytes of rows that move to a Python worker at once.
 ARROW_BYTES = 1 << 20
 
+#: A table of rows of any width is broadcast up to so many bytes of its files as well.
+BROADCAST_BYTES = 8 << 20
+
 _own_folder: str | None = None
+_opened: list[Scratch] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that every executor sees: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder will do in local mode only: other machines would each see their own.
+    """
     global _own_folder
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="plexframe-")
     return _own_folder
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's (file system, path)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage in a way that outlives any executor."""
 
@@ -36,7 +53,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self.n = 0
-        self.at: dict[int, str] = {}
+        _opened.append(self)
 
     def path(self) -> str:
         self.n += 1
@@ -47,19 +64,33 @@ class Scratch:
         path = self.path()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.at[id(out)] = path
         out._scratch = path
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        at, path = file_system(self.spark, df._scratch)
+        at.delete(path, True)
+
 
+@contextmanager
+def fleeting() -> Iterator[None]:
+    """Deletes, at its end, the scratch tables that operators opened inside: their results are written by then."""
+    before = len(_opened)
+    try:
+        yield
+    finally:
+        while len(_opened) > before:
+            gone = _opened.pop()
+            at, path = file_system(gone.spark, gone.root)
+            at.delete(path, True)
 
-def sized(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The written table, marked for broadcast if it has at most so many rows; else left to a shuffled join."""
-    return F.broadcast(table) if table.count() <= rows else table
+
+def sized(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """The table of a Scratch, marked for broadcast if it has at most so many rows and bytes; else left to a shuffled join."""
+    at, path = file_system(table.sparkSession, table._scratch)
+    small = at.getContentSummary(path).getLength() <= size and table.count() <= rows
+    return F.broadcast(table) if small else table
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,32 +103,65 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow with batches of at most ARROW_BYTES (one row at least), whatever the length of the texts.
+def drop_keys(docs: DataFrame, key: str, lost: DataFrame) -> DataFrame:
+    """docs less the rows whose key is in lost, a table of one column. Rows with a null key stay."""
+    name = next(n for n in map("__lost{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
+    lost = Scratch(docs.sparkSession).table(lost.toDF(name).distinct())
+    return docs.join(sized(lost), F.col(f"`{key}`") == F.col(name), "left_anti")
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Batches of at most ARROW_BYTES (one row at least), whatever the length of the texts.
 
     Spark takes the bound from the session when it runs the plan, so the session keeps it; a smaller one stays.
     """
-    conf = df.sparkSession.conf
-    stated = conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
-    have = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(stated)
+    stated = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    have = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(stated)
     if not 0 < have <= ARROW_BYTES:
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow in bounded batches; the worker gives memory back at the end of a task."""
+    _bounded(df.sparkSession)
     return df.mapInArrow(_tidied(run), schema)
 
 
-def _tidied(run: Callable) -> Callable:
-    """run, and then the worker gives freed memory back: workers are kept between tasks and stages."""
+def group_arrow(df: DataFrame, by: list[str], run: Callable, schema) -> DataFrame:
+    """df.groupBy(by).applyInArrow in bounded batches; the worker gives memory back after each group."""
+    _bounded(df.sparkSession)
+
+    def one(group, table):
+        out = run(group, table)
+        del table
+        give_back()
+        return out
+
+    return df.groupBy(*by).applyInArrow(one, schema)
 
-    def tidy(batches: Iterator) -> Iterator:
-        import ctypes
 
-        import pyarrow as pa
+def give_back() -> None:
+    """Return freed memory to the system: workers are kept between tasks and stages."""
+    import ctypes
+    import gc
 
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def _tidied(run: Callable) -> Callable:
+    """run, and then the worker gives freed memory back, also if the task fails or is cut short."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
 
     return tidy
 

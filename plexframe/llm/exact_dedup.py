@@ -63,9 +63,10 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs less the rows whose text another row keeps."""
-    lost = exact_dedup(docs, key, text).filter("not kept").select(F.col(f"`{key}`").alias("__lost")).distinct()
-    return docs.join(lost, F.col(f"`{key}`") == F.col("__lost"), "left_anti")
+    """docs less the rows whose text another row keeps, by key and text. Rows with a null key stay."""
+    lost = exact_dedup(docs, key, text).filter("not kept").select(F.col(f"`{key}`").alias("__lost"), F.col("text_sha256").alias("__sha")).distinct()
+    own = F.sha2(normalised(F.col(f"`{text}`").cast("string")), 256)
+    return docs.join(lost, (F.col(f"`{key}`") == F.col("__lost")) & (own == F.col("__sha")), "left_anti")
 
 
 __all__ = ["drop_copies", "exact_dedup", "normalised"]

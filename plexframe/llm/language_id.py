@@ -42,14 +42,12 @@ def trigrams(text: str) -> Iterator[tuple]:
     """(codes, counts) of the trigrams of the text's letters, lower case, any run of other signs as one space."""
     import numpy as np
 
-    for i in range(0, max(1, len(text)), WINDOW):
-        # two letters of overlap; the text's own ends count as spaces
-        piece = (" " if i == 0 else "") + text[max(0, i - 2) : i + WINDOW].lower() + (" " if i + WINDOW >= len(text) else "")
-        points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        points[~_letters()[points]] = 32
-        points = points[np.concatenate(([True], (points[1:] != 32) | (points[:-1] != 32)))]
-        if len(points) < 3:
-            continue
+    # the text's own ends count as spaces
+    every = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    every = np.where(_letters()[every], every, np.uint32(32))
+    every = every[np.concatenate(([True], (every[1:] != 32) | (every[:-1] != 32)))]
+    for i in range(0, len(every) - 2, WINDOW):
+        points = every[i : i + WINDOW + 2].astype(np.int64)  # two of overlap
         yield np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:], return_counts=True)
 
 
@@ -97,15 +95,19 @@ def _learner(dims: int, seed: int):
     return run
 
 
-def learn(train: DataFrame, text: str = "text", lang: str = "lang", dims: int = DIMS, seed: int = SEED) -> dict[str, list[float]]:
+def learn(train: DataFrame, text: str = "text", lang: str = "lang", dims: int = DIMS, seed: int = SEED, most: int = 10_000) -> dict[str, list[float]]:
     """Prototypes by language, bundled over all rows of train that have both text and lang.
 
-    Tasks send one vector a language; the driver gets languages x dims numbers, whatever the number of rows.
+    Tasks send one vector a language; the driver gets languages x dims numbers, whatever the number of rows. More than
+    `most` languages are refused: then lang is no column of languages.
     """
     rows = train.select(F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{lang}`").cast("string").alias("lang")).dropna()
     sums = map_arrow(rows, _learner(dims, seed), "lang string, dim int, v double").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
     out: dict[str, list[float]] = {}
-    for r in sums.collect():
+    found = sums.limit((most + 1) * dims).collect()
+    if len(found) > most * dims:
+        raise ValueError(f"more than {most} values of {lang}")
+    for r in found:
         out.setdefault(r["lang"], [0.0] * dims)[r["dim"]] = r["v"]
     return out
 

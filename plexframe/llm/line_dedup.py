@@ -12,7 +12,7 @@ every run of lines that stood before goes, wherever its edges are. DataFrame fun
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, sized, without
@@ -39,40 +39,45 @@ def chunks_of(text: str, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -
     return _let("l", f"split(coalesce({text}, ''), '\\n', -1)", inner)
 
 
+def _repeats(spans: DataFrame, place: Column, scratch: Scratch) -> DataFrame:
+    """Of spans (id, v, ..., body, h, len) those that are byte by byte equal to one at an earlier place.
+
+    Hashes are combined before they shuffle. The two joins by hash end in a written table and in an exchange by
+    document, so Spark can part the spans of a hot hash.
+    """
+    firsts = scratch.table(spans.groupBy("h", "len").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last"))
+    again = scratch.table(spans.join(sized(firsts), ["h", "len"]))
+    kept = scratch.table(again.filter(place == F.col("first")).groupBy("h", "len").agg(F.first("body").alias("kept_body")))
+    return again.filter(place != F.col("first")).join(kept, ["h", "len"]).filter("body = kept_body")
+
+
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
     """docs with repeated chunks removed from the text column, and columns n_chunks, n_removed (longs) added.
 
-    The occurrence with the smallest (key, place) stays. A null text stays null and an empty one empty; rows with
-    a null key take no part and keep their text; rows repeated with one key and text are one occurrence and are
-    treated alike. Columns of docs named n_chunks, n_removed or chunks are replaced. An empty table stays empty.
+    The occurrence with the smallest place stays: key, hash of the whole text, number in the text. A null text stays
+    null and an empty one empty; rows with a null key take no part and keep their text; rows repeated with one key and
+    text are one occurrence and are treated alike; rows with one key and other texts are documents of their own.
+    Columns of docs named n_chunks or n_removed are replaced. An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession)
-    docs = docs.drop("n_chunks", "n_removed", "chunks")
-    slim = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).filter("id is not null and t is not null")
+    docs = without(docs, "n_chunks", "n_removed", "__gone", "__id", "__v", "__c", "__r")
+    t = F.col(f"`{text}`").cast("string")
+    slim = docs.select(F.col(f"`{key}`").alias("id"), t.alias("t")).filter("id is not null and t is not null")
     able = (
-        slim.select("id", F.inline(F.expr(chunks_of("t", divisor, long_words)))).filter("n_lines > 1 or long")
-        .select("id", "k", "body", F.xxhash64("body").alias("h"), F.octet_length("body").alias("len"))
-    )
-    firsts = scratch.table(
-        able.groupBy("h", "len").agg(F.count("*").alias("n"), F.min(F.struct("id", "k")).alias("first")).filter("n > 1")
-        .select("h", "len", F.col("first.id").alias("first_id"), F.col("first.k").alias("first_k"))
+        slim.select("id", F.xxhash64("t").alias("v"), F.inline(F.expr(chunks_of("t", divisor, long_words)))).filter("n_lines > 1 or long")
+        .select("id", "v", "k", "body", F.xxhash64("body").alias("h"), F.octet_length("body").alias("len"))
     )
-    again = scratch.table(able.join(sized(firsts), ["h", "len"]))
-    is_first = "id = first_id and k = first_k"
-    kept = again.filter(is_first).groupBy("h", "len").agg(F.first("body").alias("kept_body"))
-    kept = scratch.table(kept)
-    same = again.filter(f"not ({is_first})").join(kept, ["h", "len"]).filter("body = kept_body")
-    removed = scratch.table(same.groupBy("id").agg(F.collect_set("k").alias("__gone")).withColumnRenamed("id", "__id"))
-
-    joined = docs.join(sized(removed), F.col(f"`{key}`") == F.col("__id"), "left")
-    t = F.col(f"`{text}`").cast("string")
+    same = _repeats(able, F.struct("id", "v", "k"), scratch)
+    removed = scratch.table(same.groupBy(F.col("id").alias("__id"), F.col("v").alias("__v")).agg(F.collect_set("k").alias("__gone")))
+
+    joined = docs.join(sized(removed), (F.col(f"`{key}`") == F.col("__id")) & (F.xxhash64(t) == F.col("__v")), "left")
     joined = joined.withColumn("__c", F.expr(chunks_of(f"`{text}`", divisor, long_words)))
     stay = F.expr("array_join(transform(filter(__c, c -> not array_contains(__gone, c.k)), c -> c.body), '\\n')")
     made = joined.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.struct(F.when(F.col("__gone").isNotNull(), stay).otherwise(t).alias("t"), F.size("__c").alias("n"), F.coalesce(F.size("__gone"), F.lit(0)).alias("gone")).alias("__r"),
     )
-    shown = [F.col("__r.t").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    shown = [F.col("__r.t").alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in docs.columns]
     count = F.when(t.isNull(), F.lit(0)).otherwise(F.col("__r.n")).cast("long")
     return made.select(*shown, count.alias("n_chunks"), F.col("__r.gone").cast("long").alias("n_removed"))
 
@@ -103,17 +108,12 @@ def line_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", long_wor
         slim.select("id", F.xxhash64("t").alias("v"), F.inline(F.expr(spans_of("t", long_words))))
         .select("id", "v", "a", "b", "body", F.xxhash64("body").alias("h"), F.octet_length("body").alias("len"))
     )
-    place = F.struct("id", "v", "a")
-    firsts = scratch.table(spans.groupBy("h", "len").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last"))
-    again = scratch.table(spans.join(sized(firsts), ["h", "len"]))
-    is_first = "id = first.id and v = first.v and a = first.a"
-    kept = scratch.table(again.filter(is_first).groupBy("h", "len").agg(F.first("body").alias("kept_body")))
-    same = again.filter(f"not ({is_first})").join(kept, ["h", "len"]).filter("body = kept_body")
+    same = _repeats(spans, F.struct("id", "v", "a"), scratch)
     lines = F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "b"))))
     removed = scratch.table(same.groupBy(F.col("id").alias("__id"), F.col("v").alias("__v")).agg(lines.alias("__gone")))
 
     joined = docs.join(sized(removed), (F.col(f"`{key}`") == F.col("__id")) & (F.xxhash64(t) == F.col("__v")), "left")
     stay = F.expr(_let("l", f"split(cast(`{text}` as string), '\\n', -1)", "array_join(transform(array_except(sequence(0, size(l) - 1), __gone), i -> l[i]), '\\n')"))
-    shown = [F.when(F.col("__gone").isNotNull(), stay).otherwise(t).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    shown = [F.when(F.col("__gone").isNotNull(), stay).otherwise(t).alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in docs.columns]
     n = F.when(t.isNull(), 0).otherwise(F.size(F.split(t, "\n", -1))).cast("long")
     return joined.select(*shown, n.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
