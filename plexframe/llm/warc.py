@@ -3,6 +3,8 @@
 Each record is a gzip member of its own. The reader deals out byte ranges of the files: a task looks for gzip
 magic in its range, accepts a place if a WARC header decodes there and the member ends at another member or
 at the end of the file, and owns the records that start inside its range, reading past its end for the last.
+From its first record on, records follow each other without a gap. The owner of a range's last record also decodes
+the member behind it, and the first range of a file has to begin with one, so no damaged member goes unseen.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ MAGIC = b"\x1f\x8b\x08"
 REVISIT_BYTES = 1000
 SPLIT_BYTES = 8 << 20
 BLOCK = 1 << 20
+#: Tasks that one read is dealt over at most.
+TASKS = 50_000
 RECORD_SCHEMA = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, start long"
 
 
@@ -83,23 +87,25 @@ def _writer(folder: str):
 
         task = TaskContext.get()
         at, root = fs.FileSystem.from_uri(folder)
-        name = posixpath.join(root, f"part-{task.partitionId():06d}.warc.gz")
-        part = f"{name}.attempt-{task.taskAttemptId()}"
+        # a name for each attempt: a repeated task never meets the file of a lost one, which no manifest names
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         at.create_dir(root, recursive=True)
         n = size = 0
-        with at.open_output_stream(part) as out:
+        with at.open_output_stream(posixpath.join(root, name), compression=None) as out:  # members come compressed
             for batch in batches:
                 for row in batch.to_pylist():
                     size += out.write(_member(record(row)))
                     n += 1
-        at.move(part, name)  # whole or not at all; a repeated task writes the same bytes
-        yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{posixpath.basename(name)}"], "size": [size], "n": [n]})
+        yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "size": [size], "n": [n]})
 
     return run
 
 
 def write_warc(rows: DataFrame, folder: str) -> DataFrame:
-    """Write the rows of with_revisits as folder/part-N.warc.gz; return the manifest (file, size, n)."""
+    """Write the rows of with_revisits as folder/part-N-ATTEMPT.warc.gz; return the manifest (file, size, n).
+
+    The manifest names what finished tasks wrote; files of lost attempts may lie beside them, so read by manifest.
+    """
     return Scratch(rows.sparkSession).table(map_arrow(rows, _writer(folder), "file string, size long, n long"))
 
 
@@ -165,54 +171,75 @@ def _parse(data: bytes) -> dict:
     }
 
 
-def records_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+class DamagedArchive(ValueError):
+    """A place in an archive where a record should begin and none can be read."""
+
+
+def _magic(window: _Window, at: int, end: int) -> int | None:
+    """The first place from `at` on, before `end`, where gzip magic stands."""
+    while (found := window.data.find(MAGIC, at - window.base)) < 0:
+        known = window.base + len(window.data)
+        at = max(at, known - len(MAGIC) + 1)
+        window.cut(min(at, known))
+        if at >= end or not window.more():
+            return None
+    return window.base + found if window.base + found < end else None
+
+
+def records_in(file, size: int, start: int, end: int, skip_damaged: bool = False) -> Iterator[tuple[int, bytes]]:
     """(offset, record) of the records that start in [start, end)."""
     window, at = _Window(file, start, size), start
+    due = start == 0  # a record has to begin at this very place
     while at < end:
-        while (found := window.data.find(MAGIC, at - window.base)) < 0:
-            keep = max(at, window.base + len(window.data) - len(MAGIC) + 1)
-            window.cut(min(keep, window.base + len(window.data)))
-            at = window.base
-            if at >= end or not window.more():
-                return
-        at = window.base + found
-        if at >= end:
+        if not due and (at := _magic(window, at, end)) is None:
             return
         got = _decode(window, at)
         if got is None:
-            at += 1
+            if due and not skip_damaged:
+                raise DamagedArchive(f"no record can be read at byte {at}")
+            at, due = at + 1, False
             continue
         yield at, got[0]
-        at = got[1]
+        at, due = got[1], True
         window.cut(at)
+    if due and at < size and not skip_damaged and _decode(window, at) is None:
+        raise DamagedArchive(f"no record can be read at byte {at}")
+
+
+def _reader(skip_damaged: bool):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()), ("start", pa.int64())])
+        for batch in batches:
+            for split in batch.to_pylist():
+                at, path = fs.FileSystem.from_uri(split["file"])
+                rows, held = [], 0
+                with at.open_input_file(path) as file:
+                    for offset, data in records_in(file, split["size"], split["start"], split["end"], skip_damaged):
+                        rows.append(_parse(data) | {"file": split["file"], "start": offset})
+                        held += len(data)
+                        if held > 16 << 20:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return run
 
 
-def _reader(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-    from pyarrow import fs
-
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()), ("start", pa.int64())])
-    for batch in batches:
-        for split in batch.to_pylist():
-            at, path = fs.FileSystem.from_uri(split["file"])
-            rows, held = [], 0
-            with at.open_input_file(path) as file:
-                for offset, data in records_in(file, split["size"], split["start"], split["end"]):
-                    rows.append(_parse(data) | {"file": split["file"], "start": offset})
-                    held += len(data)
-                    if held > 16 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-
-def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of the files of a manifest (file, size), one task a byte range."""
+def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, skip_damaged: bool = False) -> DataFrame:
+    """The records of the files of a manifest (file, size), one task a byte range (or several, beyond TASKS ranges).
+
+    A member that cannot be read fails the job with DamagedArchive, or is passed over if skip_damaged is set.
+    """
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     splits = manifest.filter("size > 0").select("file", "size", F.explode(starts).alias("start"))
     splits = splits.withColumn("end", F.least(F.col("start") + split_bytes, F.col("size")))
-    return splits.repartition("file", "start").mapInArrow(_reader, RECORD_SCHEMA)
+    n = manifest.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
+    # a stated number, so that ranges of a few bytes in the plan and many in the files are not merged into one task
+    return map_arrow(splits.repartition(min(int(n), TASKS)), _reader(skip_damaged), RECORD_SCHEMA)
 
 
 def list_warc(spark: SparkSession, folder: str) -> DataFrame:
