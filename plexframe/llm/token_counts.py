@@ -1,15 +1,18 @@
 """Token counts of whole texts, with overlap resynchronisation for huge documents.
 
 A document longer than CHUNK_CHARS is encoded in overlapping chunks with offsets. Two neighbouring chunks are
-spliced at a boundary in their overlap that both encodings share and that is stable: it lies beside ASCII
-white space, which the tokenizer's normaliser and splitter never join anything across, so the tokens on
-either side do not depend on the other side. If the overlap has no such boundary it is widened, up to the
-whole rest of the text. Shorter documents are one chunk; there each run between white space, which by the
-same argument is encoded independently, is encoded once per task and its count reused.
+spliced at a boundary in their overlap that both encodings share and that is proven stable: it lies before a blank
+between two other signs, and the tokenizer's file shows that its normaliser and its splitter never join anything
+across such a place. If the overlap has no such boundary it is widened, up to the whole rest of the text.
+
+A shorter document is one chunk. It is cut at the same proven places, and each distinct part is encoded once a task.
+A tokenizer whose file proves nothing of the kind encodes every text whole.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,11 +21,20 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, utf8_bytes, without
 
-CHUNK_CHARS = 1 << 16
-OVERLAP_CHARS = 1 << 10
-#: Counts of distinct runs that a task remembers.
-MEMO = 800_000
-BLANK = " \t\n\r\x0b\x0c"
+CHUNK_CHARS = 1 << 14
+OVERLAP_CHARS = 1 << 9
+#: Bytes of parts, and what keeps them, that a task remembers.
+MEMO_BYTES = 48 << 20
+BLANK = " \t\n\r"
+#: A stretch of blanks and what follows up to the next one.
+PART = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: Blanks beyond those four: a text that holds one is not cut into parts.
+ODD_BLANK = re.compile(r"[^\S \t\n\r]")
+
+# Split patterns of public tokenizers no alternative of which matches a sign and then a blank.
+SPLITS = frozenset([r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"])
+#: Normalisers that leave both sides of a blank to themselves.
+LOCAL = frozenset(["NFC", "NFD", "NFKC", "NFKD", "Lowercase"])
 
 
 @lru_cache(maxsize=4)
@@ -44,8 +56,37 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    if part is None:
+        return []
+    return [y for x in part[inner] for y in _steps(x, inner)] if part["type"] == "Sequence" else [part]
+
+
+@lru_cache(maxsize=4)
+def parts_at_blanks(path: str) -> bool:
+    """Whether the file proves that tokens never depend on both sides of a place between a sign and a blank after it."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    for x in spec.get("added_tokens") or []:
+        if x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or re.search(r"\s", x["content"]):
+            return False
+    for x in _steps(spec.get("normalizer"), "normalizers"):
+        runs = x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " "
+        if x["type"] not in LOCAL and not runs:
+            return False
+    split = False
+    for x in _steps(spec.get("pre_tokenizer"), "pretokenizers"):
+        if x["type"] == "ByteLevel" and not x["add_prefix_space"]:
+            split = split or x["use_regex"]
+        elif x["type"] == "Split" and x["pattern"].get("Regex") in SPLITS:
+            split = True
+        else:
+            return False
+    return split and spec["model"]["type"] == "BPE"
+
+
 def _stable(text: str, p: int) -> bool:
-    return 0 < p < len(text) and (text[p] in BLANK or text[p - 1] in BLANK)
+    return 0 < p < len(text) - 1 and text[p] in BLANK and not text[p - 1].isspace() and not text[p + 1].isspace()
 
 
 def _edges(tok, text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -101,29 +142,43 @@ def _counter(path: str | None, chunk: int, overlap: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        tok, memo = tokenizer(path or vocabulary()), {"": 0}
+        tok = tokenizer(path or vocabulary())
+        proven = parts_at_blanks(path or vocabulary())
+        memo: dict[str, int] = {}
+        held = 0
+
+        def lengths(texts: list[str]) -> list[int]:
+            return [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def whole(texts: list[str]) -> list[int]:
+            """Counts of texts of at most a chunk."""
+            nonlocal held
+            cut = [PART.findall(x) if proven and not ODD_BLANK.search(x) else [x] for x in texts]
+            fresh = list({w for c in cut for w in c if w not in memo})
+            size = sum(map(len, fresh)) + 120 * len(fresh)
+            if held + size > MEMO_BYTES:
+                memo.clear()
+                held, fresh = 0, list({w for c in cut for w in c})
+            held += size
+            memo.update(zip(fresh, lengths(fresh), strict=True))
+            return [sum(map(memo.__getitem__, c)) for c in cut]
+
         for batch in batches:
             texts, n_tokens, i = batch.column("__text"), [], 0
             while i < len(texts):
-                runs, held = [], 0  # by size, so that a batch of long texts stays small
-                while i < len(texts) and held < 1 << 20:
+                some, at, size = [], [], 0  # by size, so that a batch of long texts stays small
+                while i < len(texts) and size < 1 << 20:
                     x = texts[i].as_py() or ""
                     i += 1
-                    held += len(x)
+                    size += len(x)
                     if len(x) > chunk:
-                        runs.append(count_huge(tok, x, chunk, overlap))
-                        continue
-                    for c in BLANK[1:]:
-                        if c in x:
-                            x = x.replace(c, " ")
-                    runs.append(x.split(" "))
-                fresh = list({w for r in runs if type(r) is list for w in r if w not in memo})
-                if len(memo) + len(fresh) > MEMO:
-                    memo = {"": 0}
-                    fresh = list({w for r in runs if type(r) is list for w in r if w})
-                memo.update(zip(fresh, map(len, tok.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
-                get = memo.__getitem__
-                n_tokens += [sum(map(get, r)) if type(r) is list else r for r in runs]
+                        n_tokens.append(count_huge(tok, x, chunk, overlap) if proven else lengths([x])[0])
+                    else:
+                        at.append(len(n_tokens))
+                        some.append(x)
+                        n_tokens.append(0)
+                for j, n in zip(at, whole(some), strict=True):
+                    n_tokens[j] = n
             yield batch.drop_columns(["__text"]).append_column("n_tokens", pa.array(n_tokens, pa.int64()))
 
     return run
