@@ -7,7 +7,8 @@ as much as scanning lists. Any token order gives exact prefixes; here tokens tha
 that lists stay short.
 
 No list is expanded into all its pairs. First every member meets its list's first member; what links is one
-component. Then only members of different components of a list meet, each pair bounded by sizes and by
+component. Then only members of different components of a list meet, in bands of like size and blocks of a
+bounded number of members, so a hot list is spread over many tasks; each pair is bounded by sizes and by
 512-bit parity maps before it becomes a row. Parity maps of as many bits as a set has tokens then part most
 pairs without moving sets; every pair left is checked exactly on whole sets.
 """
@@ -20,16 +21,18 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, sized
+from .common import Scratch, drop_keys, map_arrow, sized
 
 #: Bytes of text whose shingles are computed at once.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 #: A token counts as frequent from this many sets on; the number doubles until at most HEAVY_TOKENS remain.
 HEAVY_FROM = 8
 HEAVY_TOKENS = 500_000
 #: A batch reports tokens that it holds in so many sets.
 LOCAL_FROM = 2
 MAP_WORDS = 8
+#: Members of a list that one task compares with as many others, about.
+LIST_BLOCK = 4096
 
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
@@ -262,26 +265,62 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
+def _first_heavy(counts: DataFrame, count: str) -> int:
+    """The least power of two, HEAVY_FROM at least, that at most HEAVY_TOKENS rows reach."""
+    levels = {r["l"]: r["n"] for r in counts.groupBy(F.floor(F.log2(count)).cast("int").alias("l")).agg(F.count("*").alias("n")).collect()}  # 64 rows at most
+    l = HEAVY_FROM.bit_length() - 1
+    while sum(n for at, n in levels.items() if at >= l) > HEAVY_TOKENS:
+        l += 1
+    return 1 << l
+
+
+def _blocks(rows: DataFrame, scratch: Scratch, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """rows (list, key, n, ...) twice, with `at`: those that may link and share a list meet at exactly one place.
+
+    A place is a list, two bands of sizes side by side and a block of each band. Sizes of sets that link differ by
+    den / num at most, so by less than a band.
+    """
+    rows = rows.withColumn("band", F.floor(F.log("n") / (1.001 * math.log(den / num))).cast("int"))
+    many = rows.groupBy("list", "band").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("b"))
+    beside = lambda d, name: many.select("list", (F.col("band") + d).alias("band"), F.col("b").alias(name))
+    many = scratch.table(many.join(beside(-1, "up"), ["list", "band"], "left").join(beside(1, "down"), ["list", "band"], "left"))
+    rows = rows.join(sized(many), ["list", "band"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("b")).cast("int"))
+    kept = [c for c in rows.columns if c not in ("band", "b", "up", "down", "block")]
+    place = "named_struct('list', list, 'u', {u}, 'v', {v}, 'i', {i}, 'j', {j})"
+    x = f"""concat(transform(sequence(block, b - 1), j -> {place.format(u="band", v="band", i="block", j="j")}),
+        if(up is null, array(), transform(sequence(0, up - 1), j -> {place.format(u="band", v="band + 1", i="block", j="j")})))"""
+    y = f"""concat(transform(sequence(0, block), i -> {place.format(u="band", v="band", i="i", j="block")}),
+        if(down is null, array(), transform(sequence(0, down - 1), i -> {place.format(u="band - 1", v="band", i="i", j="block")})))"""
+    return tuple(rows.select(*kept, F.explode(F.expr(e)).alias("at")) for e in (x, y))
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id.
 
     Two documents link when den * |intersection| >= num * |union| of their shingle sets; component_id is the
     smallest key reachable by links. A text that is null, empty or without words has no set and links with
-    nothing. A row with a null key links with nothing and has a null component. Rows repeated with one key and
-    text are one document and share its component. Other columns are not read. An empty table stays empty.
+    nothing. A row with a null key links with nothing and has a null component. Rows repeated with one key are one
+    document and share its component; if their texts differ, the text with the least hash (xxhash64, as signed) makes
+    the links, and n_shingles is each row's own. Other columns are not read. An empty table stays empty.
     """
+    import numpy as np
+
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("t"))
 
-    survey = scratch.table(map_arrow(slim, _surveyor(k), "key long, n long, a long, b long"))
+    def surveyed(rows: DataFrame) -> DataFrame:
+        return scratch.table(map_arrow(rows, _surveyor(k), "key long, n long, a long, b long"))
+
+    survey = surveyed(slim)
+    every = survey.filter("n is not null")
+    told = slim.filter("key is not null").groupBy("key").agg(F.min(F.xxhash64("t")).alias("low"), F.max(F.xxhash64("t")).alias("high"))
+    told = scratch.table(told.filter("low != high").select("key", "low"))
+    if told.limit(1).count():
+        slim = slim.join(sized(told), "key", "left").filter("low is null or xxhash64(t) = low").select("key", "t")
+        survey = surveyed(slim)
     sets = survey.filter("n is not null")
     counts = scratch.table(survey.filter("n is null").groupBy("a").agg(F.sum("b").alias("df")).filter(F.col("df") >= HEAVY_FROM))
-    least = HEAVY_FROM
-    while counts.filter(F.col("df") >= least).count() > HEAVY_TOKENS:
-        least *= 2
-    import numpy as np
-
-    found = counts.filter(F.col("df") >= least).toPandas()  # at most HEAVY_TOKENS rows
+    found = counts.filter(F.col("df") >= _first_heavy(counts, "df")).toPandas()  # at most HEAVY_TOKENS rows
     with np.errstate(over="ignore"):
         known = _mix(found["a"].to_numpy(np.int64).view(np.uint64) + np.uint64(1)).view(np.int64)
     often = found["df"].to_numpy(np.int64)
@@ -306,10 +345,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # the survey misses tokens that recur thinly; the lists they make are counted, and those tokens come last too
     first = enter(last(known, often)).select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("c"))
     first = scratch.table(first.filter(F.col("c") >= HEAVY_FROM))
-    least = HEAVY_FROM
-    while first.filter(F.col("c") >= least).count() > HEAVY_TOKENS:
-        least *= 2
-    long = first.filter(F.col("c") >= least).toPandas()  # at most HEAVY_TOKENS rows
+    long = first.filter(F.col("c") >= _first_heavy(first, "c")).toPandas()  # at most HEAVY_TOKENS rows
     fresh = ~np.isin(long["list"].to_numpy(np.int64), known)
     known = np.concatenate((known, long["list"].to_numpy(np.int64)[fresh]))
     often = np.concatenate((often, long["c"].to_numpy(np.int64)[fresh]))
@@ -329,8 +365,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (differ <= nx + ny - 2 * overlap)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) that link, by their whole sets."""
-        pairs = scratch.table(pairs.distinct())
+        """Of distinct pairs (x, y) those that link, by their whole sets. Each join ends in a written table, so Spark can part a hot x."""
+        pairs = scratch.table(pairs)
         x, y = (entries.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "xy")
         both = pairs.join(y, "y").join(x, "x")
         for c, other in ("xy", "yx"):  # maps of different widths: the wider one is folded
@@ -358,14 +394,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     mixed = wide.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
     mixed = scratch.table(mixed.select("list"))
     rest = scratch.table(members.filter("c > 2 and key != first").join(mixed, "list").join(own, "key").drop("first", "c"))
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.list") == F.col("y.list")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-    late = x.join(y, apart & near("x", "y")).select(F.col("x.key").alias("x"), F.col("y.key").alias("y"))
+    x, y = (r.alias(c) for r, c in zip(_blocks(rest, scratch, num, den), "xy", strict=True))
+    once = (F.col("x.at.u") < F.col("x.at.v")) | (F.col("x.at.i") < F.col("x.at.j")) | (F.col("x.key") < F.col("y.key"))
+    apart = (F.col("x.at") == F.col("y.at")) & once & (F.col("x.component") != F.col("y.component"))
+    late = x.join(y, apart & near("x", "y")).select(F.least("x.key", "y.key").alias("x"), F.greatest("x.key", "y.key").alias("y")).distinct()
     more = linked(late)
     if more.limit(1).count():
         labels = components(links.union(more), scratch)
 
-    out = sets.join(sized(copies), "key", "left").withColumn("at", F.coalesce("rep", "key"))
+    out = every.join(sized(copies), "key", "left").withColumn("at", F.coalesce("rep", "key"))
     out = out.join(sized(labels).withColumnRenamed("key", "at"), "at", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "at").alias("component_id"))
 
@@ -373,5 +410,4 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs less those whose component has a smaller key. Rows with a null key stay."""
     found = jaccard_components(docs, key, text, k, num, den)
-    lost = Scratch(docs.sparkSession).table(found.filter(F.col("component_id") != F.col(f"`{key}`")).select(F.col(f"`{key}`").alias("__lost")).distinct())
-    return docs.join(sized(lost), F.col(f"`{key}`") == F.col("__lost"), "left_anti")
+    return drop_keys(docs, key, found.filter(F.col("component_id") != F.col(f"`{key}`")).select(f"`{key}`"))
