@@ -1,21 +1,20 @@
 """Sharding by a two-pass external shuffle.
 
 Pass one scatters the records with seeded hashes: rendezvous hashing of the key chooses the shard, a hash of
-key and content chooses one of the shard's memory-sized buckets. Pass two holds one bucket at a time and
-Fisher-Yates shuffles it. A shard is its buckets in order; a record's slot is its place in its shard.
+the whole row chooses one of the shard's memory-sized buckets. Pass two holds one bucket at a time, Fisher-Yates
+shuffles it and writes it. A shard is its buckets in order; a record's slot is its place in its shard.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8_bytes, without
+from .common import Scratch, group_arrow, utf8_bytes, without
 
-BUCKET_BYTES = 16 << 20
+#: Bytes of text in a bucket, on average; a task holds one bucket.
+BUCKET_BYTES = 4 << 20
 
 
 def rendezvous(key: Column, n_shards: int, seed: int) -> Column:
@@ -31,14 +30,13 @@ def _fisher_yates(seed: int, order: list[str]):
         import pyarrow.compute as pc
 
         bucket = group[0].as_py()
-        # one order whatever the arrival, so that a recomputed bucket is the same bucket
-        table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in order]))
         rng = np.random.Generator(np.random.PCG64([seed, bucket]))
-        place = np.arange(table.num_rows)
+        # one order whatever the arrival, so that a recomputed bucket is the same bucket
+        place = pc.sort_indices(table.select(order), sort_keys=[(c, "ascending") for c in order]).to_numpy().copy()
         rng.shuffle(place)  # Fisher-Yates, in place
-        slot = table.column("__base").to_numpy() + np.arange(table.num_rows)
-        out = table.take(pa.array(place)).append_column("slot", pa.array(slot, pa.int64()))
-        return out.drop_columns(["__base", "__h"])
+        slot = table.column("__base")[0].as_py() + np.arange(table.num_rows)
+        out = table.drop_columns(["__base", "__h"]).combine_chunks().take(pa.array(place))
+        return out.append_column("slot", pa.array(slot, pa.int64()))
 
     return run
 
@@ -46,26 +44,35 @@ def _fisher_yates(seed: int, order: list[str]):
 def shard_shuffle(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", seed: int = 20177, bucket_bytes: int = BUCKET_BYTES, salt: Column | None = None) -> DataFrame:
     """docs with size, shard, bucket (ints) and slot (long): a uniformly shuffled, seeded order inside each shard.
 
-    Law `key`: key and n_shards alone choose the shard. A null text has size 1; null keys go to one shard like
-    any other value. The bucket also depends on the text and on salt (say, the position in the source file), so
-    one repeated key is spread over its shard's buckets. Repeated rows each get a slot. Columns of docs with the
-    names produced are replaced. An empty table gives an empty result.
+    Law `key`: key and n_shards alone choose the shard. A null text has size 1; null keys go to one shard like any
+    other value. A shard has as many buckets as its bytes ask for; the bucket depends on all columns and on salt
+    (say, the position in the source file), so a repeated key is spread over its shard's buckets, and with a salt
+    equal rows are too. The order does not depend on the partitions of docs: rows that tie are equal in all columns
+    and in salt. Repeated rows each get a slot. Columns of docs with the names produced are replaced. An empty table
+    gives an empty result. The result is written, as the second pass asks, and read again.
     """
+    spark = docs.sparkSession
     docs = without(docs, "size", "shard", "bucket", "slot", "__base", "__h")
     k, t = F.col(f"`{key}`"), F.col(f"`{text}`")
-    rows = docs.withColumn("size", utf8_bytes(t) + 1).withColumn("shard", rendezvous(k, n_shards, seed))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    per_shard = max(1, math.ceil(total / n_shards / bucket_bytes))
-    h = F.xxhash64(F.lit(seed + 1), k, t, *([] if salt is None else [salt]))
-    rows = rows.withColumn("__h", h).withColumn("bucket", (F.col("shard") * per_shard + F.pmod("__h", F.lit(per_shard))).cast("int"))
+    whole = [F.to_json(F.struct(f"`{f.name}`")) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    h = F.xxhash64(F.lit(seed + 1), *whole, *([] if salt is None else [salt]))
+    rows = docs.withColumn("__h", h).withColumn("size", utf8_bytes(t) + 1).withColumn("shard", rendezvous(k, n_shards, seed))
+    sizes = rows.groupBy("shard").agg(F.sum("size").alias("n")).collect()  # n_shards rows
+    many = [1] * n_shards
+    for r in sizes:
+        many[r["shard"]] += r["n"] // bucket_bytes
+    first = [sum(many[:i]) for i in range(n_shards)]
+    plan = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(n).alias("many")) for a, n in zip(first, many, strict=True)])[F.col("shard")]
+    rows = rows.withColumn("bucket", (plan["first"] + F.pmod("__h", plan["many"])).cast("int"))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("__base"))
+    bases = Scratch(spark).table(counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("__base")))
+    # a row for each bucket of some MB: a small table, if not, a shuffled join by an even key
     placed = rows.join(bases, "bucket").select(*rows.columns, "__base")
     schema = T.StructType([*[f for f in placed.schema.fields if f.name not in ("__base", "__h")], T.StructField("slot", T.LongType())])
-    return placed.groupBy("bucket").applyInArrow(_fisher_yates(seed, [key, "__h", "size"]), schema)
+    return Scratch(spark).table(group_arrow(placed, ["bucket"], _fisher_yates(seed, ["__h"]), schema))
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
-    """Write the result of shard_shuffle as folders shard=N, each file in slot order."""
+    """Write the result of shard_shuffle as folders shard=N; each file holds buckets in slot order."""
     shuffled.repartition("bucket").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
