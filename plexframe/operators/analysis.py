@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexframe.operators.traverse import least_labels, written
+from plexframe.operators.traverse import least_labels, on_cycles, written
 
 
 def arcs(edges: DataFrame) -> DataFrame:
@@ -42,17 +42,6 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         left = rest.select("id")
 
 
-def on_cycles(tree: DataFrame) -> DataFrame:
-    """(child, parent) rows of a table with one parent a child whose child lies on a cycle.
-
-    After as many doublings as the log of the rows, whoever still leads somewhere leads onto a cycle.
-    """
-    hop = written(tree.select("child", "parent"))
-    for _ in range(max(1, math.ceil(math.log2(hop.count() + 1)))):
-        hop = written(hop.join(hop.select(F.col("child").alias("parent"), F.col("parent").alias("far")), "parent").select("child", F.col("far").alias("parent")))
-    return tree.join(hop.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent")
-
-
 def bellman_ford(nodes: DataFrame, edges: DataFrame, source: str) -> tuple[DataFrame | None, DataFrame | None]:
     """((id, distance), None), or (None, (id, before)) of negative cycles that the source reaches.
 

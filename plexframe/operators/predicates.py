@@ -6,10 +6,11 @@ words in any case; "..." takes backslash escapes, '...' is raw. Two neighbours w
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -103,8 +104,12 @@ def parse(text: str):
         if m := _FIELD.fullmatch(raw):
             name, op, value = m[1].lower(), m[2] or "", _plain(m[3])
             number = r"\d+" if name == "degree" else r"-?\d+(\.\d+)?"
+            if name in ("degree", "version") and op not in (">", "<", ">=", "<=", "="):
+                raise QueryError(f"{name} needs one of > < >= <= =", column)
             if name in ("degree", "version") and not re.fullmatch(number, value):
                 raise QueryError(f"{name} needs a number", column)
+            if not op and re.match(r"[!$^*~+]", m[3]):
+                raise QueryError(f"{name} does not know {m[3][0]}", column)
             return Field(name, op, value)
         return Text(_plain(raw))
 
@@ -140,7 +145,7 @@ def matches(q) -> Column:
     if q is None:
         return F.lit(True)
     if isinstance(q, Text):
-        return F.lower("label").contains(q.value.lower())
+        return F.coalesce(F.lower("label").contains(q.value.lower()), F.lit(False))
     if isinstance(q, Not):
         return ~matches(q.of)
     if isinstance(q, Join):
@@ -153,21 +158,63 @@ def matches(q) -> Column:
         return F.coalesce(F.exists("tags", lambda t: F.lower(t) == value.removeprefix("#")), F.lit(False))
     if q.name in ("degree", "version"):
         column, number = F.col(q.name), float(q.value)
-        return {">": column > number, "<": column < number, ">=": column >= number, "<=": column <= number}.get(q.op, column == number)
+        held = {">": column > number, "<": column < number, ">=": column >= number, "<=": column <= number, "=": column == number}[q.op]
+        return F.coalesce(held, F.lit(False))
     name = {"id": "id", "path": "id", "kind": "kind", "db": "database_id", "group": "group_label"}[q.name]
     return F.coalesce(F.lower(name) == value, F.lit(False))
 
 
-def hidden(text: str = "", groups: list[str] = (), kinds: list[str] = (), min_degree: int = 0, query=None) -> Column:
-    """True for nodes that a composite filter hides."""
-    out = ~matches(query)
-    if text:
-        out = out | ~F.lower("label").contains(text.lower())
+def _asked(query) -> object:
+    """A query's tree; a text that does not parse asks for nothing, as an empty one."""
+    if not isinstance(query, str):
+        return query
+    try:
+        return parse(query)
+    except QueryError:
+        return None
+
+
+def hidden(text: str = "", groups: list[str] = (), kinds: list[str] = (), min_degree: int = 0, query=None, orphans: bool = False, existing_only: bool = False) -> Column:
+    """True for nodes that a composite filter hides, never null. orphans and existing_only hide nodes without edges."""
+    out = ~matches(_asked(query))
+    if text.strip():
+        out = out | ~F.coalesce(F.lower("label").contains(text.strip().lower()), F.lit(False))
     if groups:
         out = out | F.coalesce(F.col("group_label").isin(*groups), F.lit(False))
     if kinds:
-        out = out | F.col("kind").isin(*kinds)
-    return out | (F.col("degree") < min_degree)
+        out = out | F.coalesce(F.col("kind").isin(*kinds), F.lit(False))
+    if orphans or existing_only:
+        out = out | (F.coalesce("degree", F.lit(0)) == 0)
+    return out | (F.coalesce("degree", F.lit(0)) < min_degree)
+
+
+def highlight(text: str = "", query=None) -> Column | None:
+    """True for nodes that a search lights: by the query if there is one, else by the text; None if there is neither."""
+    asked = _asked(query)
+    if asked is not None:
+        return matches(asked)
+    return matches(Text(text.strip())) if text.strip() else None
+
+
+def console_filter(databases: list[str] = (), kinds: list[str] = (), tags: list[str] = ()) -> Column:
+    """True for nodes that stay when databases, kinds and tag labels are hidden."""
+    no = F.lit(False)
+    gone = F.coalesce(F.col("kind").isin(*kinds), no) | F.coalesce(F.col("database_id").isin(*databases), no)
+    return ~(gone | F.coalesce((F.col("kind") == "tag") & F.col("label").isin(*tags), no))
+
+
+def search(nodes: DataFrame, text: str, order: str) -> DataFrame:
+    """The first node by `order` whose label holds the text; none for an empty text."""
+    low = text.strip().lower()
+    found = nodes.filter(F.lower("label").contains(low)) if low else nodes.limit(0)
+    return found.orderBy(order).limit(1)
+
+
+def visible_graph(nodes: DataFrame, edges: DataFrame, hides: Column) -> tuple[DataFrame, DataFrame]:
+    """The nodes that are not hidden, and the edges between them: what a new layout of a filtered graph takes."""
+    kept = nodes.filter(~hides)
+    have = kept.select("id")
+    return kept, edges.join(have.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(have.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
 
 
 def first_match(rules: list[tuple[str, str]]) -> Column:
@@ -178,8 +225,28 @@ def first_match(rules: list[tuple[str, str]]) -> Column:
     return out
 
 
+def _finite(*values: Column) -> Column:
+    out = F.lit(True)
+    for v in values:
+        out = out & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(math.inf))
+    return out
+
+
 def meets_view(x: Column, y: Column, r: Column, left: float, top: float, right: float, bottom: float) -> Column:
-    """A disc meets a rectangle."""
+    """A disc meets a rectangle. A NaN edge of the rectangle is no bound; a place that is not finite is out of view."""
+    left, top = (-math.inf if math.isnan(v) else v for v in (left, top))
+    right, bottom = (math.inf if math.isnan(v) else v for v in (right, bottom))
     dx = x - F.greatest(F.lit(left), F.least(x, F.lit(right)))
     dy = y - F.greatest(F.lit(top), F.least(y, F.lit(bottom)))
-    return dx * dx + dy * dy <= r * r
+    return _finite(x, y) & F.coalesce(dx * dx + dy * dy <= r * r, F.lit(False))
+
+
+def segment_meets_view(x0: Column, y0: Column, x1: Column, y1: Column, left: float, top: float, right: float, bottom: float) -> Column:
+    """The box around a segment meets a rectangle."""
+    wide = (F.greatest(x0, x1) >= left) & (F.least(x0, x1) <= right)
+    return _finite(x0, y0, x1, y1) & wide & (F.greatest(y0, y1) >= top) & (F.least(y0, y1) <= bottom)
+
+
+def in_box(x: Column, y: Column, x0: float, y0: float, x1: float, y1: float) -> Column:
+    """A place lies in the box with these two corners, its sides included."""
+    return _finite(x, y) & x.between(min(x0, x1), max(x0, x1)) & y.between(min(y0, y1), max(y0, y1))

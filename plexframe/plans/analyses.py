@@ -25,7 +25,7 @@ def query(sql: str | None = None, graph: bool = True):
 
 def _belongs(spark, d):
     """Records and the relations between them."""
-    return nodes_of(spark, d).filter("kind = 'record'"), model.index_edges(nodes_of(spark, d), edges_of(spark, d)).filter("kind = 'relation'")
+    return nodes_of(spark, d).filter("kind = 'record'"), model.index_edges(nodes_of(spark, d), edges_of(spark, d, "relation"))
 
 
 @query(
@@ -58,13 +58,17 @@ def bellman_ford(spark, d):
     return analysis.bellman_ford(n, e.withColumn("strength", -F.col("strength")), START)[0]
 
 
-@query()
+_ROUND = "x{i} AS (SELECT n.id, coalesce(sum(a.w * x.v), 0) AS v FROM nodes n LEFT JOIN arcs a ON a.t = n.id LEFT JOIN x{j} x ON x.id = a.s GROUP BY 1)"
+
+
+@query(
+    ", both_ways AS (SELECT src_id AS s, dst_id AS t, strength FROM good UNION ALL SELECT dst_id, src_id, strength FROM good), arcs AS (SELECT s, t, sum(strength) AS w FROM both_ways GROUP BY 1, 2), "
+    "x0 AS (SELECT id, 1.0::DOUBLE AS v FROM nodes), " + ", ".join(_ROUND.format(i=i, j=i - 1) for i in range(1, 5)) + " SELECT id, round(v / (SELECT sqrt(sum(v * v)) FROM x4), 9) AS value FROM x4"
+)
 def eigenvector(spark, d):
-    """Nations and regions, linked both ways, each with a loop; no SQL, tests hold it against numpy."""
-    n = nodes_of(spark, d).filter("database_id in ('nation', 'region')")
-    e = edges_of(spark, d).filter("label = 'n_regionkey'").select("src_id", "dst_id", "strength", F.lit(False).alias("directed"))
-    loops = n.select(F.col("id").alias("src_id"), F.col("id").alias("dst_id"), F.lit(1.0).alias("strength"), F.lit(True).alias("directed"))
-    return analysis.eigenvector(n, e.union(loops))[0]
+    """Four rounds over the whole graph, its edges taken both ways."""
+    e = model.index_edges(nodes_of(spark, d), edges_of(spark, d)).withColumn("directed", F.lit(False))
+    return analysis.eigenvector(nodes_of(spark, d), e, rounds=4)[0].select("id", F.round("value", 9).alias("value"))
 
 
 FOLD = ", p AS (SELECT src_id AS id, dst_id AS o FROM good WHERE kind = 'relation' UNION SELECT dst_id, src_id FROM good WHERE kind = 'relation'), k AS (SELECT id, count(*) AS n, min(o) AS o FROM p GROUP BY 1), f AS (SELECT k.id, k.o FROM k JOIN k m ON k.o = m.id WHERE k.n = 1 AND (m.n > 1 OR m.id < k.id))"
@@ -128,9 +132,12 @@ def nearest_node(spark, d):
     return drawing.nearest(p, probes, 4.0).withColumn("away", F.round("away", 6))
 
 
-@query("SELECT n, CASE WHEN s >= 112 THEN 112 WHEN s <= 8 THEN 8 WHEN s >= 64 THEN 64 WHEN s >= 32 THEN 32 WHEN s >= 16 THEN 16 ELSE 8 END AS ticks FROM (SELECT o_orderkey AS n, 6e6 / (o_orderkey * log2(o_orderkey + 1) + o_custkey) AS s FROM orders)", graph=False)
+@query("WITH g AS (SELECT o_orderkey AS n, o_custkey AS m FROM orders UNION SELECT o_orderkey % 40, o_custkey % 9 FROM orders UNION SELECT o_orderkey * 3, o_custkey FROM orders), s AS (SELECT n, m, 6e6 / nullif(n * log2(n + 1) + m, 0) AS s FROM g) SELECT n, m, CASE WHEN n <= 0 OR s <= 8 THEN 8 WHEN s >= 112 THEN 112 WHEN s >= 64 THEN 64 WHEN s >= 32 THEN 32 WHEN s >= 16 THEN 16 ELSE 8 END AS ticks FROM s", graph=False)
 def tick_budget(spark, d):
-    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("n"), scalars.tick_budget(F.col("o_orderkey"), F.col("o_custkey")).alias("ticks"))
+    """Sizes from none to 45,000 at sf0.01, so that every step of the ladder is met."""
+    o = _t(spark, d, "orders")
+    sizes = o.select("o_orderkey", "o_custkey").union(o.selectExpr("o_orderkey % 40", "o_custkey % 9")).union(o.selectExpr("o_orderkey * 3", "o_custkey")).distinct().toDF("n", "m")
+    return sizes.select("n", "m", scalars.tick_budget(F.col("n"), F.col("m")).alias("ticks"))
 
 
 @query("SELECT id, ord FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS ord FROM edges) WHERE ord % 4 = 0")

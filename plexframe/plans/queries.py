@@ -42,8 +42,9 @@ def nodes_of(spark: SparkSession, d: str) -> DataFrame:
     return records("shop", tables).unionByName(tag_hubs(tables))
 
 
-def edges_of(spark: SparkSession, d: str) -> DataFrame:
-    return edges("shop", shop(spark, d))
+def edges_of(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
+    """Edges of these kinds, or of all."""
+    return edges("shop", shop(spark, d), *[kinds] * bool(kinds))
 
 
 NODES = """
@@ -133,10 +134,19 @@ def parse_ids(spark, d):
     return out.select("id", F.col("p.source").alias("src"), F.col("p.collection").alias("collection"), F.col("p.record").alias("record"))
 
 
-@query("SELECT event_type, CASE WHEN event_type = 'tag' THEN 'tag' ELSE 'relation' END AS kind, 1.0::DOUBLE AS strength FROM (SELECT DISTINCT event_type FROM events)", graph=False)
+#: Names of links as sources state them, one for each branch of the rule and some that fall through.
+WIRE = ["parent", "Child_Of", "x_hierarchy_y", "links_to", "my_note_link", "annotates", "note_of", "Tagged", "tag"]
+
+
+@query(
+    "WITH t AS (SELECT event_type AS name FROM events UNION SELECT unnest(" + repr(WIRE) + ")), k AS (SELECT name, lower(name) AS l FROM t), r AS (SELECT name, l, CASE WHEN l IN ('parent', 'parent_of', 'child_of') OR contains(l, 'hierarchy') THEN 'hierarchy' WHEN contains(l, 'note_link') OR l = 'links_to' THEN 'note_link' "
+    "WHEN contains(l, 'note_of') OR l = 'annotates' THEN 'note_of' WHEN l IN ('tagged', 'tag') THEN 'tag' ELSE 'relation' END AS kind FROM k) SELECT name, kind, CASE kind WHEN 'hierarchy' THEN 2.0 WHEN 'relation' THEN 1.0 WHEN 'tag' THEN 0.75 WHEN 'note_link' THEN 0.625 ELSE 0.5 END::DOUBLE AS strength, l = 'child_of' AS child_first FROM r",
+    graph=False,
+)
 def edge_kinds(spark, d):
-    k = ids.edge_kind(F.col("event_type"))
-    return _t(spark, d, "events").select("event_type").distinct().select("event_type", k.alias("kind"), ids.edge_strength(k).alias("strength"))
+    names = _t(spark, d, "events").select(F.col("event_type").alias("name")).union(spark.createDataFrame([(w,) for w in WIRE], "name string")).distinct()
+    k = ids.edge_kind(F.col("name"))
+    return names.select("name", k.alias("kind"), ids.edge_strength(k).alias("strength"), ids.child_first(F.col("name")).alias("child_first"))
 
 
 @query("SELECT * FROM deg")
@@ -161,7 +171,7 @@ def legend_databases(spark, d):
 
 @query("SELECT label, count(*) AS n FROM edges WHERE kind = 'tag' GROUP BY 1")
 def legend_tags(spark, d):
-    return model.legend_tags(nodes_of(spark, d), edges_of(spark, d))
+    return model.legend_tags(nodes_of(spark, d), edges_of(spark, d, "tag"))
 
 
 @query("SELECT kind, count(*) AS n FROM nodes GROUP BY 1")
@@ -207,10 +217,11 @@ def extend_refusals(spark, d):
 @query("SELECT round(sum(CASE WHEN a = b THEN s ELSE 0 END) / sum(s) - (SELECT sum(d * d) FROM (SELECT a, sum(s) AS d FROM (SELECT a, s FROM e UNION ALL SELECT b, s FROM e) GROUP BY a)) / (4 * sum(s) * sum(s)), 9) AS q FROM e".replace("FROM e", "FROM com").replace("SELECT round", ", com AS (SELECT x.database_id AS a, y.database_id AS b, g.strength AS s FROM good g JOIN nodes x ON g.src_id = x.id JOIN nodes y ON g.dst_id = y.id WHERE g.kind = 'relation') SELECT round", 1))
 def modularity(spark, d):
     member = nodes_of(spark, d).select("id", F.col("database_id").alias("community"))
-    return model.modularity(edges_of(spark, d).filter("kind = 'relation'"), member).select(F.round("q", 9).alias("q"))
+    return model.modularity(edges_of(spark, d, "relation"), member).select(F.round("q", 9).alias("q"))
 
 
 START = "shop:nation:3"
+FROM = "shop:customer:7"
 
 
 def _neighbours(depth: int) -> str:
@@ -221,7 +232,7 @@ def _neighbours(depth: int) -> str:
 
 
 def _near(spark, d, depth):
-    return traverse.neighbourhood(edges_of(spark, d).filter("kind = 'relation'"), spark.createDataFrame([(START,)], "id string"), depth)
+    return traverse.neighbourhood(edges_of(spark, d, "relation"), spark.createDataFrame([(START,)], "id string"), depth)
 
 
 @query(_neighbours(1))
@@ -252,7 +263,7 @@ def weak_components(spark, d):
 
 @query(f"{CONV} SELECT dst_id AS child, min(src_id) AS parent FROM e GROUP BY 1", graph=False)
 def hierarchy_parent(spark, d):
-    return traverse.parents(turns(spark, d)[1])
+    return traverse.parents(turns(spark, d)[1]).select("child", "parent")
 
 
 @query(f"{CONV}, w AS (SELECT id, 0::BIGINT AS depth FROM n WHERE id NOT IN (SELECT dst_id FROM e) UNION ALL SELECT e.dst_id, w.depth + 1 FROM w JOIN e ON e.src_id = w.id) SELECT * FROM w", graph=False)
@@ -261,15 +272,15 @@ def bfs_depth(spark, d):
     return traverse.depths(n, traverse.parents(e))
 
 
-@query(", w AS (SELECT '" + START + "' AS id, 0.0::DOUBLE AS distance UNION ALL SELECT g.dst_id, w.distance + g.strength FROM w JOIN good g ON g.src_id = w.id WHERE g.directed) SELECT n.id, min(w.distance) AS distance FROM nodes n LEFT JOIN w USING (id) WHERE n.database_id IN ('nation', 'region') GROUP BY n.id")
+@query(", a AS (SELECT src_id AS s, dst_id AS t, strength FROM good UNION ALL SELECT dst_id, src_id, strength FROM good WHERE NOT directed), w AS (SELECT '" + FROM + "' AS id, 0.0::DOUBLE AS distance UNION SELECT a.t, w.distance + a.strength FROM w JOIN a ON a.s = w.id WHERE w.distance < 4) SELECT n.id, min(w.distance) AS distance FROM nodes n LEFT JOIN w USING (id) GROUP BY n.id")
 def shortest_paths(spark, d):
-    n = nodes_of(spark, d).filter("database_id in ('nation', 'region')")
-    return traverse.shortest_paths(n, edges_of(spark, d).filter("kind = 'relation'"), START)
+    """From one order, along its links and back over its tags' edges: no node that is reached is further than 5."""
+    return traverse.shortest_paths(nodes_of(spark, d), edges_of(spark, d), FROM)
 
 
 def meta(spark: SparkSession, d: str) -> DataFrame:
     n, e = nodes_of(spark, d), edges_of(spark, d)
-    tags = e.filter("kind = 'tag'").groupBy(F.col("src_id").alias("id")).agg(F.collect_set("label").alias("tags"))
+    tags = edges_of(spark, d, "tag").groupBy(F.col("src_id").alias("id")).agg(F.collect_set("label").alias("tags"))
     return n.join(model.degrees(n, e), "id").join(tags, "id", "left")
 
 
@@ -331,24 +342,39 @@ def _values(spark, d):
     return _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("double").alias("v"), F.col("c_acctbal").alias("w"))
 
 
+def _normal(spark, d, value, **options):
+    return scalars.normalise(_values(spark, d), value, **options).select("id", F.round("t", 6).alias("t"))
+
+
 @query(f"SELECT id, round((w - min(w) OVER ()) / (max(w) OVER () - min(w) OVER ()), 6) AS t FROM ({CUST})", graph=False)
 def normalise_linear(spark, d):
-    return scalars.linear(_values(spark, d), "w").select("id", F.round("t", 6).alias("t"))
+    return _normal(spark, d, "w")
 
 
-@query(f"SELECT id, round(log10(1 + w - min(w) OVER ()) / log10(1 + max(w) OVER () - min(w) OVER ()), 6) AS t FROM ({CUST})", graph=False)
+@query(f"WITH c AS ({CUST}), b AS (SELECT quantile_cont(w, 0.05) AS lo, quantile_cont(w, 0.9) AS hi FROM c) SELECT id, round(sqrt((least(hi, greatest(lo, w)) - lo) / (hi - lo)), 6) AS t FROM c, b", graph=False)
+def normalise_clipped(spark, d):
+    return _normal(spark, d, "w", clip_low=90, clip_high=5, gamma=2.0)
+
+
+@query(f"WITH c AS ({CUST}), b AS (SELECT min(w) AS lo, max(w) AS hi, min(w) FILTER (w > 0) AS pos FROM c), e AS (SELECT *, greatest(pos * 10 ** -greatest((log10(hi) - log10(pos)) * 0.1 / 0.9, 0.05), 1e-30) AS eps FROM b) SELECT id, round(greatest(0, (log10(greatest(w, eps)) - log10(greatest(lo, eps))) / (log10(hi) - log10(greatest(lo, eps)))), 6) AS t FROM c, e", graph=False)
 def normalise_log(spark, d):
-    return scalars.logarithmic(_values(spark, d), "w").select("id", F.round("t", 6).alias("t"))
+    return _normal(spark, d, "w", mode="LOG")
 
 
 @query(f"SELECT id, round((rank() OVER (ORDER BY v) - 1 + (count(*) OVER (PARTITION BY v) - 1) / 2.0) / (count(*) OVER () - 1), 6) AS t FROM ({CUST})", graph=False)
 def normalise_rank(spark, d):
-    return scalars.mid_rank(_values(spark, d), "v").select("id", F.round("t", 6).alias("t"))
+    return _normal(spark, d, "v", mode="RANK")
 
 
 @query(f"SELECT id, round((dense_rank() OVER (ORDER BY v) - 1)::DOUBLE / ((SELECT count(DISTINCT v) FROM ({CUST})) - 1), 6) AS t FROM ({CUST})", graph=False)
 def normalise_quantile(spark, d):
-    return scalars.quantile_index(_values(spark, d), "v").select("id", F.round("t", 6).alias("t"))
+    return _normal(spark, d, "v", mode="QUANTILE")
+
+
+@query(f"SELECT 5.0::DOUBLE AS p, quantile_cont(w, 0.05) AS value FROM ({CUST}) UNION ALL SELECT 50.0, quantile_cont(w, 0.5) FROM ({CUST}) UNION ALL SELECT 99.0, quantile_cont(w, 0.99) FROM ({CUST})".replace("AS value", "AS v").replace("SELECT 5.0", "SELECT p, round(v, 6) AS value FROM (SELECT 5.0") + ")", graph=False)
+def percentile_values(spark, d):
+    found = scalars.percentiles(_values(spark, d), "w", [5.0, 50.0, 99.0])
+    return spark.createDataFrame(list(zip([5.0, 50.0, 99.0], found, strict=True)), "p double, value double").withColumn("value", F.round("value", 6))
 
 
 @query("WITH f AS (SELECT c_mktsegment AS k, min(c_custkey) AS o FROM customer GROUP BY 1), s AS (SELECT k, (row_number() OVER (ORDER BY o) - 1)::INTEGER AS slot FROM f) SELECT c_custkey AS id, slot FROM customer JOIN s ON c_mktsegment = k", graph=False)
@@ -410,7 +436,7 @@ def latest_records(spark, d):
     return changes.latest(ops(spark, d))
 
 
-@query(f"{OPS}, r AS (SELECT *, row_number() OVER w AS n, sum(bytes) OVER w AS b FROM h WINDOW w AS (PARTITION BY ws ORDER BY seq DESC ROWS UNBOUNDED PRECEDING)) SELECT ws, max(seq) AS cut FROM r WHERE n > 1 AND (n > 500 OR b > 9000) GROUP BY 1", graph=False)
+@query(f"{OPS}, r AS (SELECT *, row_number() OVER w AS n, sum(bytes) OVER w AS b FROM h WINDOW w AS (PARTITION BY ws ORDER BY seq DESC ROWS UNBOUNDED PRECEDING)) SELECT ws, max(seq) AS cut FROM r WHERE n > 500 OR b > 9000 GROUP BY 1", graph=False)
 def retention_cut(spark, d):
     return changes.retention_cut(heads(spark, d), 500, 9000)
 

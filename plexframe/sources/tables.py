@@ -95,9 +95,12 @@ def tag_hubs(tables: Sequence[Table]) -> DataFrame:
     )
 
 
-def edges(source: str, tables: Sequence[Table]) -> DataFrame:
-    """Hierarchy, relation and tag edges; of relations with one id the first stays. No node need exist yet."""
-    out = []
+def edges(source: str, tables: Sequence[Table], kinds: Sequence[str] = ("hierarchy", "relation", "tag")) -> DataFrame:
+    """Hierarchy, relation and tag edges, of these kinds; of relations with one id the first stays. No node need exist yet.
+
+    Only relations can share an id (hierarchy and tag edges have an end of their own record), so only they are grouped.
+    """
+    out: dict[str, list[DataFrame]] = {"hierarchy": [], "relation": [], "tag": []}
     for rank, t in enumerate(tables):
         rows, me = t.live(), _record(source, t)
 
@@ -108,10 +111,10 @@ def edges(source: str, tables: Sequence[Table]) -> DataFrame:
                 label.alias("label"), F.lit(ids.STRENGTH[kind]).alias("strength"), F.lit(directed).alias("directed"),
             )
 
-        if t.parent:
+        if t.parent and "hierarchy" in kinds:
             up = ids.record_id(F.lit(source), F.lit(t.name), F.col(t.parent).cast("string"))
-            out.append(row(rows.filter(F.col(t.parent).isNotNull()), up, me, "hierarchy", F.lit(""), False, 0))
-        for n, link in enumerate(sorted(t.links, key=lambda x: x.column.encode())):
+            out["hierarchy"].append(row(rows.filter(F.col(t.parent).isNotNull()), up, me, "hierarchy", F.lit(""), False, 0))
+        for n, link in enumerate(sorted(t.links, key=lambda x: x.column.encode()) if "relation" in kinds else ()):
             here = rows.filter(F.col(link.column).isNotNull())
             if link.many:
                 here = here.select("*", F.posexplode(link.column).alias("__pos", "__to"))
@@ -119,13 +122,18 @@ def edges(source: str, tables: Sequence[Table]) -> DataFrame:
             else:
                 to, pos = F.col(link.column), None
             end = ids.record_id(F.lit(source), F.lit(link.target), to.cast("string"))
-            out.append(row(here, me, end, "relation", F.lit(link.column), not link.symmetric, 1 + n, pos))
-        if t.tags:
+            out["relation"].append(row(here, me, end, "relation", F.lit(link.column), not link.symmetric, 1 + n, pos))
+        if t.tags and "tag" in kinds:
             here = rows.select("*", F.posexplode(F.array_distinct(t.tags)).alias("__pos", "__tag")).filter("__tag is not null")
-            out.append(row(here, me, ids.tag_id(F.col("__tag")), "tag", F.col("__tag"), False, 1000, F.col("__pos")))
-    every = reduce(DataFrame.unionByName, out)
-    first = every.groupBy("id").agg(F.min_by(F.struct(*[c for c in every.columns if c != "id"]), "place").alias("e"))
-    return first.select("id", "e.*")
+            out["tag"].append(row(here, me, ids.tag_id(F.col("__tag")), "tag", F.col("__tag"), False, 1000, F.col("__pos")))
+    parts = out["hierarchy"] + out["tag"]
+    if out["relation"]:
+        every = reduce(DataFrame.unionByName, out["relation"])
+        first = every.groupBy("id").agg(F.min_by(F.struct(*[c for c in every.columns if c != "id"]), "place").alias("e"))
+        parts.append(first.select(*[F.col("id") if c == "id" else F.col(f"e.{c}") for c in every.columns]))
+    if not parts:
+        raise ValueError("no table states a parent, a link or tags of the wanted kinds")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _ranged(df: DataFrame, by: str, each) -> tuple[DataFrame, DataFrame]:
@@ -153,6 +161,21 @@ def running(df: DataFrame, by: str, cost: str, out: str = "running") -> DataFram
     return rows.withColumn("__at", here).join(F.broadcast(bases), "__range").withColumn(out, F.col("__at") + F.col("__base")).drop("__range", "__at", "__base")
 
 
+def prefixes(df: DataFrame, group: str, by: str, sums: dict[str, str]) -> DataFrame:
+    """df with running sums (name: column) inside each group in the order of `by`; a hot group is spread over ranges.
+
+    Rows that tie are summed in any order, as in a running sum by rows.
+    """
+    rows = written(df.repartitionByRange(group, by).withColumn("__range", F.spark_partition_id()))
+    here = Window.partitionBy(group, "__range").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    total = rows.groupBy(F.col(group).alias("__group"), F.col("__range").alias("__part")).agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    before = Window.partitionBy("__group").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select("__group", "__part", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__base_{n}") for n in sums])
+    rows = rows.select("*", *[F.sum(c).over(here).alias(n) for n, c in sums.items()])
+    out = rows.join(total, rows[group].eqNullSafe(total["__group"]) & (rows["__range"] == total["__part"]))
+    return out.select(*df.columns, *[(F.col(n) + F.col(f"__base_{n}")).alias(n) for n in sums])
+
+
 def present_only(rows: DataFrame, key: str, refs: str, targets: DataFrame) -> DataFrame:
     """rows with the array column refs less what is not in targets (id). A list that loses all is null; empty ones stay."""
     each = rows.select(key, F.posexplode(refs).alias("__pos", "__ref")).join(targets.select(F.col("id").alias("__ref")), "__ref", "left_semi")
