@@ -87,8 +87,13 @@ def palette_of(key: Column, palette: list[str]) -> Column:
 
 
 def edge_bucket(kind: Column) -> Column:
-    """The drawing order of edge kinds: hierarchy below relations, below tags, below notes."""
-    return F.when(kind == "hierarchy", 0).when(kind == "relation", 1).when(kind == "tag", 2).otherwise(3)
+    """The drawing group of an edge: relations, tags, notes, hierarchy."""
+    return F.when(kind == "tag", 1).when(kind.isin("note_of", "note_link"), 2).when(kind == "hierarchy", 3).otherwise(0)
+
+
+def edge_width(bucket: Column, strength: Column, scale: float = 1.0) -> Column:
+    base = F.get(F.array(*map(F.lit, (1.1, 0.7, 1.0, 2.0))), bucket)  # fixed values: width by bucket, then a step a tier
+    return (base + strength_tier(strength) * 0.65) * scale
 
 
 # The grammar of names.

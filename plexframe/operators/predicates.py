@@ -233,12 +233,11 @@ def _finite(*values: Column) -> Column:
 
 
 def meets_view(x: Column, y: Column, r: Column, left: float, top: float, right: float, bottom: float) -> Column:
-    """A disc meets a rectangle. A NaN edge of the rectangle is no bound; a place that is not finite is out of view."""
+    """The square around a disc meets a rectangle. A NaN edge of the rectangle is no bound; a place that is not finite is out of view."""
     left, top = (-math.inf if math.isnan(v) else v for v in (left, top))
     right, bottom = (math.inf if math.isnan(v) else v for v in (right, bottom))
-    dx = x - F.greatest(F.lit(left), F.least(x, F.lit(right)))
-    dy = y - F.greatest(F.lit(top), F.least(y, F.lit(bottom)))
-    return _finite(x, y) & F.coalesce(dx * dx + dy * dy <= r * r, F.lit(False))
+    inside = (x + r >= left) & (x - r <= right) & (y + r >= top) & (y - r <= bottom)
+    return _finite(x, y) & F.coalesce(inside, F.lit(False))
 
 
 def segment_meets_view(x0: Column, y0: Column, x1: Column, y1: Column, left: float, top: float, right: float, bottom: float) -> Column:

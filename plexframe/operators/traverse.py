@@ -49,6 +49,19 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int, way: str = "bo
     return seen
 
 
+def levels(links: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, distance): hops along links (src_id, dst_id) from the start ids to all that they reach."""
+    seen = written(start.select("id").distinct().withColumn("distance", F.lit(0)))
+    front, d = seen.select("id"), 0
+    while True:
+        d += 1
+        near = links.join(front.withColumnRenamed("id", "src_id"), "src_id").select(F.col("dst_id").alias("id")).distinct()
+        front = written(near.join(seen, "id", "left_anti"))
+        if not front.limit(1).count():
+            return seen
+        seen = written(seen.union(front.withColumn("distance", F.lit(d))))
+
+
 def incident_edges(edges: DataFrame, reached: DataFrame, depth: int) -> DataFrame:
     """The edges (id, ...) of a neighbourhood: those at a node that was expanded, so at a distance below depth."""
     inner = written(reached.filter(F.col("distance") < depth).select(F.col("id").alias("__n")))
