@@ -103,9 +103,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name, made from this one, that df does not have in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def drop_keys(docs: DataFrame, key: str, lost: DataFrame) -> DataFrame:
     """docs less the rows whose key is in lost, a table of one column. Rows with a null key stay."""
-    name = next(n for n in map("__lost{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
+    name = spare(docs, "__lost")
     lost = Scratch(docs.sparkSession).table(lost.toDF(name).distinct())
     return docs.join(sized(lost), F.col(f"`{key}`") == F.col(name), "left_anti")
 

@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, without
+from .common import map_arrow, spare, without
 
 DIMS = 512
 SEED = 61
@@ -38,17 +38,19 @@ def _letter(code: int, dims: int, seed: int):
     return (np.random.Generator(np.random.PCG64([seed, code])).integers(0, 2, dims, dtype=np.int8) * 2 - 1).astype(np.int8)
 
 
-def trigrams(text: str) -> Iterator[tuple]:
-    """(codes, counts) of the trigrams of the text's letters, lower case, any run of other signs as one space."""
+def trigrams(*texts: str) -> Iterator[tuple]:
+    """(codes, counts) of the trigrams of each text's letters, lower case, any run of other signs as one space."""
     import numpy as np
 
-    # the text's own ends count as spaces
-    every = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    every = np.where(_letters()[every], every, np.uint32(32))
+    # a text's own ends count as spaces; a zero stands between texts, and no trigram reaches across it
+    joined = "\0".join([f" {t.lower()} ".replace("\0", " ") for t in texts])
+    every = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    every = np.where(_letters()[every] | (every == 0), every, np.uint32(32))
     every = every[np.concatenate(([True], (every[1:] != 32) | (every[:-1] != 32)))]
     for i in range(0, len(every) - 2, WINDOW):
         points = every[i : i + WINDOW + 2].astype(np.int64)  # two of overlap
-        yield np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:], return_counts=True)
+        a, b, c = points[:-2], points[1:-1], points[2:]
+        yield np.unique((a << 42 | b << 21 | c)[(a != 0) & (b != 0) & (c != 0)], return_counts=True)
 
 
 def vectors(codes, dims: int, seed: int):
@@ -70,8 +72,8 @@ def _learner(dims: int, seed: int):
         sums: dict[str, np.ndarray] = {}
 
         def bundle(lang: str, texts: list[str]) -> None:
-            parts = list(trigrams(" ".join(texts)))
-            if not parts:
+            parts = list(trigrams(*texts))
+            if not sum(len(p[0]) for p in parts):
                 return
             codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([p[1] for p in parts]))
@@ -112,14 +114,14 @@ def learn(train: DataFrame, text: str = "text", lang: str = "lang", dims: int =
     return out
 
 
-def _predictor(names: list[str], prototypes: list[list[float]], dims: int, seed: int):
+def _predictor(names: list[str], prototypes: list[list[float]], dims: int, seed: int, column: str):
     def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
         import numpy as np
 
         unit = np.array(prototypes, np.float32).reshape(-1, dims)
         norms = np.linalg.norm(unit, axis=1, keepdims=True)
         unit = unit / np.where(norms > 0, norms, 1)
-        parts = [list(trigrams(t)) if t else [] for t in texts]
+        parts = [[p for p in trigrams(t) if len(p[0])] if t else [] for t in texts]
         every = [p[0] for own in parts for p in own]
         out: tuple[list[str], list[float]] = ([UNKNOWN] * len(texts), [0.0] * len(texts))
         if not every or not names:
@@ -139,7 +141,7 @@ def _predictor(names: list[str], prototypes: list[list[float]], dims: int, seed:
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column("__text")
+            texts = batch.column(column)
             langs, scores, i = [], [], 0
             while i < len(texts):
                 chunk, chars = [], 0  # by size, so that a batch of long texts stays small
@@ -150,7 +152,7 @@ def _predictor(names: list[str], prototypes: list[list[float]], dims: int, seed:
                 got = predict(chunk)
                 langs += got[0]
                 scores += got[1]
-            rest = batch.drop_columns(["__text"])
+            rest = batch.drop_columns([column])
             yield rest.append_column("lang_pred", pa.array(langs, pa.string())).append_column("score", pa.array(scores, pa.float64()))
 
     return run
@@ -166,12 +168,13 @@ def identify(docs: DataFrame, model: dict[str, list[float]], text: str = "text",
     A null text, a text without letters, and any text where nothing was learned, is `und` with score 0. Columns
     of docs with the names produced are replaced; nothing but the text is read. An empty table stays empty.
     """
-    docs = without(docs, "lang_pred", "score", "__text")
+    docs = without(docs, "lang_pred", "score")
+    own = spare(docs, "__text")
     rest = docs if keep_text else without(docs, text)
-    slim = docs.select(*[F.col(f"`{c}`") for c in rest.columns], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "__text"], "lang_pred string", "score double"])
+    slim = docs.select(*[F.col(f"`{c}`") for c in rest.columns], F.col(f"`{text}`").cast("string").alias(own))
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != own], "lang_pred string", "score double"])
     names = sorted(model)
-    return map_arrow(slim, _predictor(names, [model[n] for n in names], dims, seed), schema)
+    return map_arrow(slim, _predictor(names, [model[n] for n in names], dims, seed, own), schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, sized, without
+from .common import Scratch, sized, spare, without
 
 #: A chunk ends after a line with probability 1 / DIVISOR.
 DIVISOR = 3
@@ -60,7 +60,8 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor
     Columns of docs named n_chunks or n_removed are replaced. An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession)
-    docs = without(docs, "n_chunks", "n_removed", "__gone", "__id", "__v", "__c", "__r")
+    docs = without(docs, "n_chunks", "n_removed")
+    gone, key_of, hash_of, cut, made = (spare(docs, n) for n in ("__gone", "__id", "__v", "__c", "__r"))
     t = F.col(f"`{text}`").cast("string")
     slim = docs.select(F.col(f"`{key}`").alias("id"), t.alias("t")).filter("id is not null and t is not null")
     able = (
@@ -68,18 +69,18 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", divisor
         .select("id", "v", "k", "body", F.xxhash64("body").alias("h"), F.octet_length("body").alias("len"))
     )
     same = _repeats(able, F.struct("id", "v", "k"), scratch)
-    removed = scratch.table(same.groupBy(F.col("id").alias("__id"), F.col("v").alias("__v")).agg(F.collect_set("k").alias("__gone")))
+    removed = scratch.table(same.groupBy(F.col("id").alias(key_of), F.col("v").alias(hash_of)).agg(F.collect_set("k").alias(gone)))
 
-    joined = docs.join(sized(removed), (F.col(f"`{key}`") == F.col("__id")) & (F.xxhash64(t) == F.col("__v")), "left")
-    joined = joined.withColumn("__c", F.expr(chunks_of(f"`{text}`", divisor, long_words)))
-    stay = F.expr("array_join(transform(filter(__c, c -> not array_contains(__gone, c.k)), c -> c.body), '\\n')")
-    made = joined.select(
+    joined = docs.join(sized(removed), (F.col(f"`{key}`") == F.col(key_of)) & (F.xxhash64(t) == F.col(hash_of)), "left")
+    joined = joined.withColumn(cut, F.expr(chunks_of(f"`{text}`", divisor, long_words)))
+    stay = F.expr(f"array_join(transform(filter({cut}, c -> not array_contains({gone}, c.k)), c -> c.body), '\\n')")
+    out = joined.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.struct(F.when(F.col("__gone").isNotNull(), stay).otherwise(t).alias("t"), F.size("__c").alias("n"), F.coalesce(F.size("__gone"), F.lit(0)).alias("gone")).alias("__r"),
+        F.struct(F.when(F.col(gone).isNotNull(), stay).otherwise(t).alias("t"), F.size(cut).alias("n"), F.coalesce(F.size(gone), F.lit(0)).alias("gone")).alias(made),
     )
-    shown = [F.col("__r.t").alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in docs.columns]
-    count = F.when(t.isNull(), F.lit(0)).otherwise(F.col("__r.n")).cast("long")
-    return made.select(*shown, count.alias("n_chunks"), F.col("__r.gone").cast("long").alias("n_removed"))
+    shown = [F.col(f"{made}.t").alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in docs.columns]
+    count = F.when(t.isNull(), F.lit(0)).otherwise(F.col(f"{made}.n")).cast("long")
+    return out.select(*shown, count.alias("n_chunks"), F.col(f"{made}.gone").cast("long").alias("n_removed"))
 
 
 def spans_of(text: str, long_words: int = LONG_WORDS) -> str:
@@ -101,7 +102,8 @@ def line_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", long_wor
     n_removed are replaced. An empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession)
-    docs = without(docs, "n_lines", "n_removed", "__gone", "__id", "__v")
+    docs = without(docs, "n_lines", "n_removed")
+    gone, key_of, hash_of = (spare(docs, n) for n in ("__gone", "__id", "__v"))
     t = F.col(f"`{text}`").cast("string")
     slim = docs.select(F.col(f"`{key}`").alias("id"), t.alias("t")).filter("id is not null and t is not null")
     spans = (
@@ -110,10 +112,10 @@ def line_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", long_wor
     )
     same = _repeats(spans, F.struct("id", "v", "a"), scratch)
     lines = F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "b"))))
-    removed = scratch.table(same.groupBy(F.col("id").alias("__id"), F.col("v").alias("__v")).agg(lines.alias("__gone")))
+    removed = scratch.table(same.groupBy(F.col("id").alias(key_of), F.col("v").alias(hash_of)).agg(lines.alias(gone)))
 
-    joined = docs.join(sized(removed), (F.col(f"`{key}`") == F.col("__id")) & (F.xxhash64(t) == F.col("__v")), "left")
-    stay = F.expr(_let("l", f"split(cast(`{text}` as string), '\\n', -1)", "array_join(transform(array_except(sequence(0, size(l) - 1), __gone), i -> l[i]), '\\n')"))
-    shown = [F.when(F.col("__gone").isNotNull(), stay).otherwise(t).alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in docs.columns]
+    joined = docs.join(sized(removed), (F.col(f"`{key}`") == F.col(key_of)) & (F.xxhash64(t) == F.col(hash_of)), "left")
+    stay = F.expr(_let("l", f"split(cast(`{text}` as string), '\\n', -1)", f"array_join(transform(array_except(sequence(0, size(l) - 1), {gone}), i -> l[i]), '\\n')"))
+    shown = [F.when(F.col(gone).isNotNull(), stay).otherwise(t).alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in docs.columns]
     n = F.when(t.isNull(), 0).otherwise(F.size(F.split(t, "\n", -1))).cast("long")
-    return joined.select(*shown, n.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*shown, n.alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))

@@ -19,7 +19,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, utf8_bytes, without
+from .common import map_arrow, spare, utf8_bytes, without
 
 CHUNK_CHARS = 1 << 14
 OVERLAP_CHARS = 1 << 9
@@ -138,7 +138,7 @@ def count_huge(tok, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_
     return total + len(here)
 
 
-def _counter(path: str | None, chunk: int, overlap: int):
+def _counter(path: str | None, chunk: int, overlap: int, column: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -164,7 +164,7 @@ def _counter(path: str | None, chunk: int, overlap: int):
             return [sum(map(memo.__getitem__, c)) for c in cut]
 
         for batch in batches:
-            texts, n_tokens, i = batch.column("__text"), [], 0
+            texts, n_tokens, i = batch.column(column), [], 0
             while i < len(texts):
                 some, at, size = [], [], 0  # by size, so that a batch of long texts stays small
                 while i < len(texts) and size < 1 << 20:
@@ -179,7 +179,7 @@ def _counter(path: str | None, chunk: int, overlap: int):
                         n_tokens.append(0)
                 for j, n in zip(at, whole(some), strict=True):
                     n_tokens[j] = n
-            yield batch.drop_columns(["__text"]).append_column("n_tokens", pa.array(n_tokens, pa.int64()))
+            yield batch.drop_columns([column]).append_column("n_tokens", pa.array(n_tokens, pa.int64()))
 
     return run
 
@@ -192,6 +192,7 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, l
     with the names produced are replaced. An empty table gives an empty result.
     """
     rest = without(docs, text, "n_bytes", "n_tokens", "over_limit").columns
-    slim = docs.select(*[F.col(f"`{c}`") for c in rest], utf8_bytes(F.col(f"`{text}`")).alias("n_bytes"), F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "__text"], "n_tokens long"])
-    return map_arrow(slim, _counter(path, chunk, overlap), schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    own = spare(docs, "__text")
+    slim = docs.select(*[F.col(f"`{c}`") for c in rest], utf8_bytes(F.col(f"`{text}`")).alias("n_bytes"), F.col(f"`{text}`").cast("string").alias(own))
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != own], "n_tokens long"])
+    return map_arrow(slim, _counter(path, chunk, overlap, own), schema).withColumn("over_limit", F.col("n_tokens") > limit)
