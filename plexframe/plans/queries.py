@@ -103,9 +103,32 @@ def derive_tag_hubs(spark, d):
     return tag_hubs(shop(spark, d)).select("id", "label")
 
 
-@query("SELECT 'x' AS rule, 'x' AS collection, 'x' AS id WHERE FALSE")
+@query("SELECT 'duplicate_record' AS rule, 'region' AS collection, r_regionkey::VARCHAR AS id FROM region UNION ALL SELECT 'colon_in_tag', 'customer', c_custkey::VARCHAR FROM customer WHERE c_custkey % 10 <> 0 AND c_custkey % 97 = 1 UNION ALL SELECT 'no_record', 'orders', o_orderkey::VARCHAR FROM orders WHERE o_custkey % 10 = 0", graph=False)
 def derive_refusals(spark, d):
-    return refusals(shop(spark, d))
+    """The shop with regions stated twice, a tenth of the customers gone, and some tags that hold a colon."""
+    tables = {t.name: t for t in shop(spark, d)}
+    tables["region"].rows = tables["region"].rows.union(tables["region"].rows)
+    some = tables["customer"].rows.filter("c_custkey % 10 != 0")
+    tables["customer"].rows = some.withColumn("tags", F.when(F.col("c_custkey") % 97 == 1, F.array(F.lit("a:b"))).otherwise(F.col("tags")))
+    return refusals(list(tables.values()))
+
+
+@query("SELECT 'shop:part:' || p_partkey AS id, p_name AS label, p_brand AS group_label FROM part WHERE p_size > 10 OR p_size IS NULL")
+def derive_live(spark, d):
+    """Parts of a small size are deleted; the label role goes before the group, and a number is no title."""
+    rows = _t(spark, d, "part").withColumn("gone", F.col("p_size") <= 10)
+    t = Table("part", rows, "p_partkey", title="p_name", label="p_brand", group="p_type", deleted="gone")
+    return records("shop", [t]).select("id", "label", "group_label")
+
+
+@query("SELECT CASE WHEN p % 2 = 0 THEN least(a, b) || '--' || greatest(a, b) || ':relation:near' ELSE a || '->' || b || ':relation:far' END AS id, a AS src_id, b AS dst_id, p % 2 = 1 AS directed, 'relation' AS kind FROM (SELECT p_partkey AS p, 'shop:part:' || p_partkey AS a, 'shop:part:' || unnest([p_partkey + 1, p_partkey + 2]) AS b FROM part) UNION ALL SELECT least(a, b) || '--' || greatest(a, b) || ':hierarchy:', b, a, FALSE, 'hierarchy' FROM (SELECT 'shop:part:' || p_partkey AS a, 'shop:part:' || p_size AS b FROM part WHERE p_size IS NOT NULL)", graph=False)
+def derive_links(spark, d):
+    """Links of many references, symmetric and directed, and parents, all within one table."""
+    k = F.col("p_partkey")
+    refs = F.array(k + 1, k + 2)
+    rows = _t(spark, d, "part").withColumns({"near": F.when(k % 2 == 0, refs), "far": F.when(k % 2 == 1, refs)})
+    t = Table("part", rows, "p_partkey", parent="p_size", links=[Link("near", "part", many=True, symmetric=True), Link("far", "part", many=True)])
+    return edges("shop", [t]).select("id", "src_id", "dst_id", "directed", "kind")
 
 
 @query("SELECT * FROM nodes")

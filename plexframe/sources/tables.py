@@ -33,6 +33,7 @@ class Table:
     rows: DataFrame
     key: str
     title: str | None = None
+    label: str | None = None
     group: str | None = None
     weight: str | None = None
     version: str | None = None
@@ -46,8 +47,11 @@ class Table:
 
 
 def refusals(tables: Sequence[Table]) -> DataFrame:
-    """(rule, collection, id): duplicate record keys, tags with a colon. Empty if the tables can be derived."""
-    found = []
+    """(rule, collection, id): duplicate record keys, tags with a colon, links to no record. Empty if the tables can be derived.
+
+    A deleted record can be named. A link whose target is no table is an error of the declaration, and raised.
+    """
+    found, by_name = [], {t.name: t for t in tables}
     for t in tables:
         key = F.col(t.key).cast("string").alias("id")
         again = t.rows.groupBy(key).count().filter("count > 1")
@@ -55,6 +59,14 @@ def refusals(tables: Sequence[Table]) -> DataFrame:
         if t.tags:
             bad = t.live().filter(F.exists(t.tags, lambda x: x.contains(":")))
             found.append(bad.select(F.lit("colon_in_tag").alias("rule"), F.lit(t.name).alias("collection"), key))
+        for link in t.links:
+            if link.target not in by_name:
+                raise ValueError(f"{t.name}.{link.column} names no table: {link.target}")
+            to = by_name[link.target]
+            ref = F.explode(link.column) if link.many else F.col(link.column)
+            refs = t.live().select(key, ref.alias("__ref")).filter("__ref is not null").withColumn("__ref", F.col("__ref").cast("string"))
+            lost = refs.join(to.rows.select(F.col(to.key).cast("string").alias("__ref")), "__ref", "left_anti")
+            found.append(lost.select(F.lit("no_record").alias("rule"), F.lit(t.name).alias("collection"), "id").distinct())
     return reduce(DataFrame.unionByName, found)
 
 
@@ -67,12 +79,14 @@ def records(source: str, tables: Sequence[Table]) -> DataFrame:
     null = F.lit(None).cast("string")
     out = []
     for rank, t in enumerate(tables):
-        key = F.col(t.key).cast("string")
+        key, kinds = F.col(t.key).cast("string"), dict(t.rows.dtypes)
+        # a title, label or group is a text; a column of another type names nothing
+        title, group = (c if c and kinds[c] == "string" else None for c in (t.title, t.label or t.group))
         out.append(
             t.live().select(
                 F.struct(F.lit(rank).alias("table"), key.alias("key")).alias("place"), _record(source, t).alias("id"), F.lit("record").alias("kind"),
-                F.lit(t.name).alias("database_id"), F.lit(source).alias("source"), F.coalesce(F.col(t.title).cast("string"), key).alias("label") if t.title else key.alias("label"),
-                (F.col(t.group).cast("string") if t.group else null).alias("group_label"), (F.coalesce(F.col(t.weight).cast("double"), F.lit(0.5)) if t.weight else F.lit(0.5)).alias("weight"),
+                F.lit(t.name).alias("database_id"), F.lit(source).alias("source"), (F.coalesce(title, key) if title else key).alias("label"),
+                (F.col(group) if group else null).alias("group_label"), (F.coalesce(F.col(t.weight).cast("double"), F.lit(0.5)) if t.weight else F.lit(0.5)).alias("weight"),
                 (F.coalesce(F.col(t.version).cast("double"), F.lit(0.0)) if t.version else F.lit(0.0)).alias("version"),
             )
         )
@@ -80,16 +94,16 @@ def records(source: str, tables: Sequence[Table]) -> DataFrame:
 
 
 def tag_hubs(tables: Sequence[Table]) -> DataFrame:
-    """One node a tag, after all records, ordered by the first record that has it (then by tag)."""
+    """One node a tag, after all records, ordered by the first record that has it and its place there."""
     seen = []
     for rank, t in enumerate(tables):
         if t.tags:
-            place = F.struct(F.lit(rank).alias("table"), F.col(t.key).cast("string").alias("key"))
-            seen.append(t.live().select(place.alias("place"), F.explode(F.array_distinct(t.tags)).alias("tag")))
+            each = t.live().select(F.col(t.key).cast("string").alias("key"), F.posexplode(F.array_distinct(t.tags)).alias("pos", "tag"))
+            seen.append(each.select(F.struct(F.lit(rank).alias("table"), "key", "pos").alias("place"), "tag"))
     first = reduce(DataFrame.unionByName, seen).filter("tag is not null").groupBy("tag").agg(F.min("place").alias("first"))
     null = F.lit(None).cast("string")
     return first.select(
-        F.struct(F.lit(len(tables)).alias("table"), F.concat(F.format_string("%06d:", "first.table"), F.col("first.key"), F.lit("\x00"), F.col("tag")).alias("key")).alias("place"),
+        F.struct(F.lit(len(tables)).alias("table"), F.concat(F.format_string("%06d:", "first.table"), F.col("first.key"), F.format_string("\x00%06d", "first.pos")).alias("key")).alias("place"),
         ids.tag_id(F.col("tag")).alias("id"), F.lit("tag").alias("kind"), null.alias("database_id"), F.lit("tag").alias("source"), F.col("tag").alias("label"),
         null.alias("group_label"), F.lit(0.5).alias("weight"), F.lit(0.0).alias("version"),
     )
