@@ -33,6 +33,8 @@ LOCAL_FROM = 2
 MAP_WORDS = 8
 #: Members of a list that one task compares with as many others, about.
 LIST_BLOCK = 4096
+#: Of the lists that a set is in, the least ones that tell whether a pair has met before.
+LEAST_LISTS = 16
 
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
@@ -394,10 +396,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     mixed = wide.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
     mixed = scratch.table(mixed.select("list"))
     rest = scratch.table(members.filter("c > 2 and key != first").join(mixed, "list").join(own, "key").drop("first", "c"))
-    x, y = (r.alias(c) for r, c in zip(_blocks(rest, scratch, num, den), "xy", strict=True))
+    # a pair meets in every list that both are in; it counts where no smaller one, of each set's least few, is shared
+    least = rest.groupBy("key").agg(F.slice(F.sort_array(F.collect_list("list")), 1, LEAST_LISTS).alias("few"))
+    x, y = (r.alias(c) for r, c in zip(_blocks(rest.join(least, "key"), scratch, num, den), "xy", strict=True))
     once = (F.col("x.at.u") < F.col("x.at.v")) | (F.col("x.at.i") < F.col("x.at.j")) | (F.col("x.key") < F.col("y.key"))
+    fresh = F.coalesce(F.array_min(F.array_intersect("x.few", "y.few")) >= F.col("x.list"), F.lit(True))
     apart = (F.col("x.at") == F.col("y.at")) & once & (F.col("x.component") != F.col("y.component"))
-    late = x.join(y, apart & near("x", "y")).select(F.least("x.key", "y.key").alias("x"), F.greatest("x.key", "y.key").alias("y")).distinct()
+    late = x.join(y, apart & near("x", "y") & fresh).select(F.least("x.key", "y.key").alias("x"), F.greatest("x.key", "y.key").alias("y")).distinct()
     more = linked(late)
     if more.limit(1).count():
         labels = components(links.union(more), scratch)
