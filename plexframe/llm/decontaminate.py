@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, sized
+from .common import Scratch, drop_keys, map_arrow
 
 #: Tokens in a window. Shorter items are one window of their own length, down to LEAST tokens.
 WINDOW = 8
@@ -60,7 +60,7 @@ GLUED = re.compile(r"([$€£]?[+-]?\d[\d,]*(?:\.\d+)?)([a-z]+)")
 EDGE = "\"'`.,;:!?()[]{}<>*_|«»“”‘’…-–—"
 CLOSING = "\"')]”’»"
 #: Words whose reading a task remembers.
-MEMO = 300_000
+MEMO = 150_000
 LITERAL, NUM, NAME, MEASURE, SKIP = range(5)
 #: Kinds of sequences: template tokens, and plain lower-case words.
 TEMPLATE, WORDS = range(2)
@@ -395,6 +395,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """docs less those that hold a benchmark item."""
-    lost = find_leaks(docs, benchmark, key, text, coverage=coverage).select(F.col(f"`{key}`").alias("__lost")).distinct()
-    lost = Scratch(docs.sparkSession).table(lost)
-    return docs.join(sized(lost), F.col(f"`{key}`") == F.col("__lost"), "left_anti")
+    return drop_keys(docs, key, find_leaks(docs, benchmark, key, text, coverage=coverage).select(f"`{key}`"))

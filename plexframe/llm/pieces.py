@@ -2,8 +2,13 @@
 
 The vocabulary is a BPE model, so a path through the lattice of pieces is admissible only if every two
 neighbouring pieces are what BPE makes of their joint text; then exactly one admissible path reaches each
-position and the search needs no scores. It keeps back pointers for a window bounded by the longest piece and
-commits ids as soon as the paths of all live positions meet in one boundary. The ids equal the library's.
+position and the search needs no scores. The live positions are those within the longest piece of the end; as many
+positions on, at the latest, the search follows their back pointers and commits the ids before the boundary where
+all of them meet, if they do. In front of a space after another sign they always meet, since no piece reaches across
+it; so the ids between two such places are remembered within a task. The ids equal the library's.
+
+Where spaces stand side by side, several pieces have one score and the pair test cannot tell which of two paths BPE
+takes; there BPE is run as defined, over the spaces and the word behind them.
 """
 
 from __future__ import annotations
@@ -15,13 +20,15 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, without
+from .common import map_arrow, spare, without
 
 SPACE = "▁"
-#: Segments, and pairs of pieces, that a task remembers.
-MEMO = 500_000
-#: Positions after which a long run looks for a boundary to commit.
-LOOK = 256
+#: Bytes of segments that a task remembers in each of two generations.
+MEMO_BYTES = 36 << 20
+#: Bytes of pairs of pieces that a worker remembers: what they are does not depend on the texts.
+PAIR_BYTES = 32 << 20
+#: Characters of a segment that is remembered at most.
+SHORT = 64
 
 
 class PieceModel:
@@ -45,6 +52,8 @@ class PieceModel:
         self.valid: dict[int, bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}  # by segment
         self.word: dict[str, tuple[int, ...]] = {}  # the same for words after one space, without it
+        self.past: dict[str, tuple[int, ...]] = {}  # by segment, from before the last time that these were full
+        self.held = 0  # bytes of memo and word
         # ASCII bytes stand for themselves; other bytes are joined by the slow path of decode
         self.plain = [chr(self.value[i]) if self.value.get(i, 128) < 128 else None if i in self.value else p for i, p in enumerate(self.text)]
         self.automaton = ahocorasick.Automaton()
@@ -82,7 +91,7 @@ class PieceModel:
         """Whether BPE keeps pieces a and b apart and whole when they stand side by side."""
         key = a << 20 | b
         if (known := self.valid.get(key)) is None:
-            if len(self.valid) > MEMO // 2:
+            if 100 * len(self.valid) > PAIR_BYTES:
                 self.valid.clear()
             known = self.valid[key] = self.bpe(self.text[a] + self.text[b]) == [a, b]
         return known
@@ -110,7 +119,7 @@ class PieceModel:
         """The ids of a run of known characters, committed as the search goes."""
         meets = self.meets
         base, last = 0, [(-1, 0)]  # last[i - base]: the piece that ends at i, and its length
-        look = LOOK
+        look = 2 * self.longest
         for end, (piece, length) in self.automaton.iter(run):
             at = end + 1 - base
             if at < len(last):
@@ -119,7 +128,7 @@ class PieceModel:
             if before < 0 or meets(before, piece):
                 last.append((piece, length))
                 if at >= look:
-                    live = {len(last) - 1 - k for k in range(self.longest)}
+                    live = set(range(len(last) - self.longest, len(last)))
                     while len(live) > 1:  # follow the paths back to where all meet
                         far = max(live)
                         live.remove(far)
@@ -128,7 +137,7 @@ class PieceModel:
                     if meet > 0:
                         yield from self._path(last, meet)
                         last, base = last[meet:], base + meet
-                    look = len(last) - 1 + LOOK
+                    look = len(last) - 1 + self.longest
         yield from self._path(last, len(last) - 1)
 
     @staticmethod
@@ -142,7 +151,7 @@ class PieceModel:
 
     def segment(self, s: str) -> tuple[int, ...]:
         """The ids of a stretch that no piece leaves: unknown characters become bytes and part the runs."""
-        if len(s) <= LOOK and self.known.issuperset(s) and SPACE * 2 not in s:
+        if len(s) <= SHORT and self.known.issuperset(s) and SPACE * 2 not in s:
             return tuple(self.short(s))
         ids: list[int] = []
         run: list[str] = []
@@ -164,19 +173,30 @@ class PieceModel:
         return tuple(ids)
 
     def _keep(self, memo: dict, key: str, s: str) -> tuple[int, ...]:
-        if len(memo) >= MEMO:
-            memo.clear()
-        found = self.segment(s)
-        if len(s) <= 64:
+        found = self.past.get(s) or self.segment(s)
+        if len(s) <= SHORT:
+            cost = 220 + 2 * len(s) + 8 * len(found)  # two objects and a dictionary's entry; the ids are shared
+            if self.held + cost > MEMO_BYTES:
+                self.past = {**self.memo, **{SPACE + w: ids for w, ids in self.word.items()}}
+                self.memo.clear()
+                self.word.clear()
+                self.held = 0
             memo[key] = found
+            self.held += cost
         return found
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.word.clear()
+        self.past = {}
+        self.held = 0
+
     def encode(self, text: str) -> list[int]:
         """The ids of a text. Cut before every space that follows another sign: all paths meet there."""
         if not text:
             return []
         out: list[int] = []
-        bare, word, keep = self.memo.get, self.word.get, self._keep
+        bare, word, keep = self.memo.get, self.word.get, self._keep  # both dictionaries stay the same objects
         lines = text.split("\n") if "\n" not in self.known else [text]
         newline = self.segment("\n") if len(lines) > 1 else ()
         for n, line in enumerate(lines):
@@ -233,30 +253,29 @@ def model(path: str | None = None) -> PieceModel:
     return PieceModel(path)
 
 
-def _encoder(path: str | None, check: bool):
+def _encoder(path: str | None, check: bool, column: str):
     def run(batches: Iterator) -> Iterator:
-        import gc
-
         import numpy as np
         import pyarrow as pa
 
         m = model(path)
-        gc.freeze()  # the memo is many small tuples without cycles
-        gc.disable()
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):  # ids of few texts at a time
-                batch = whole.slice(start, 256)
-                parts, same = [], []
-                for text in batch.column("__text").to_pylist():
-                    ids = None if text is None else m.encode(text)
-                    parts.append(np.array(ids or [], np.int32))
-                    if check:
-                        same.append(None if text is None else m.decode(ids) == text.replace(SPACE, " "))
-                lengths = np.array([len(p) for p in parts], np.int64)
-                offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
-                out = batch.drop_columns(["__text"]).append_column("ids", lists).append_column("n_ids", pa.array(lengths))
-                yield out.append_column("round_trip", pa.array(same, pa.bool_())) if check else out
+        try:
+            for whole in batches:
+                for start in range(0, whole.num_rows, 256):  # ids of few texts at a time
+                    batch = whole.slice(start, 256)
+                    parts, same = [], []
+                    for text in batch.column(column).to_pylist():
+                        ids = None if text is None else m.encode(text)
+                        parts.append(np.array(ids or [], np.int32))
+                        if check:
+                            same.append(None if text is None else m.decode(ids) == text.replace(SPACE, " "))
+                    lengths = np.array([len(p) for p in parts], np.int64)
+                    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+                    out = batch.drop_columns([column]).append_column("ids", lists).append_column("n_ids", pa.array(lengths))
+                    yield out.append_column("round_trip", pa.array(same, pa.bool_())) if check else out
+        finally:
+            m.forget()  # the worker lives on
 
     return run
 
@@ -270,27 +289,27 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, check:
     names produced are replaced. An empty table gives an empty result.
     """
     made = ["ids", "n_ids", "round_trip"]
-    rest = without(docs, text, *made).columns
-    slim = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "__text"]
-    return map_arrow(slim, _encoder(path, check), ", ".join([*fields, "ids array<int>", "n_ids long", *["round_trip boolean"] * check]))
+    rest, own = without(docs, text, *made).columns, spare(docs, "__text")
+    slim = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias(own))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != own]
+    return map_arrow(slim, _encoder(path, check, own), ", ".join([*fields, "ids array<int>", "n_ids long", *["round_trip boolean"] * check]))
 
 
-def _decoder(path: str | None):
+def _decoder(path: str | None, column: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         m = model(path)
         for batch in batches:
-            texts = [None if i is None else m.decode(i) for i in batch.column("__ids").to_pylist()]
-            yield batch.drop_columns(["__ids"]).append_column("text", pa.array(texts, pa.string()))
+            texts = [None if i is None else m.decode(i) for i in batch.column(column).to_pylist()]
+            yield batch.drop_columns([column]).append_column("text", pa.array(texts, pa.string()))
 
     return run
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
     """encoded less ids, with the text they stand for; null ids give a null text."""
-    rest = without(encoded, ids, "text").columns
-    slim = encoded.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{ids}`").alias("__ids"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "__ids"]
-    return map_arrow(slim, _decoder(path), ", ".join([*fields, "text string"]))
+    rest, own = without(encoded, ids, "text").columns, spare(encoded, "__ids")
+    slim = encoded.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{ids}`").alias(own))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != own]
+    return map_arrow(slim, _decoder(path, own), ", ".join([*fields, "text string"]))
