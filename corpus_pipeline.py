@@ -1,4 +1,8 @@
-"""A corpus pipeline over the documents table: five stages, each written and read again before the next."""
+"""A corpus pipeline over the documents table: five stages, each written and read again before the next.
+
+Every stage takes null and empty texts, null and repeated keys, further columns and empty tables, as its operator states
+it. Rows without letters go with language ID; an empty text that is left by line dedup stays, with no ids.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexframe.llm.common import read, shared_folder
+from plexframe.llm.common import file_system, fleeting, read, shared_folder
 from plexframe.llm.decontaminate import drop_leaks
 from plexframe.llm.jaccard_join import drop_near_copies
 from plexframe.llm.language_id import UNKNOWN, held_out, identify, learn
@@ -51,7 +55,7 @@ STAGES = [
     ("SentencePiece encoding", pieces),
 ]
 
-#: SQL can express neither the language model nor the piece search; tests hold run() against brute force.
+#: SQL can express neither the language model nor the piece search; tests/llm/test_brute_force.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
@@ -59,7 +63,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{i}")
+        with fleeting():  # what a stage set down on its way goes once its result is written
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{folder}/{i}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{i}")
+        if i:
+            at, path = file_system(spark, f"{folder}/{i - 1}")
+            at.delete(path, True)
     return docs
