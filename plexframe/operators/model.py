@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexframe.functions import ids
-from plexframe.operators.traverse import written
 from plexframe.sources.tables import dense, prefixes
 
 
