@@ -29,7 +29,8 @@ class Simplified:
 
 
 def simplify(nodes: DataFrame, edges: DataFrame, leaves: bool = True, chains: bool = True) -> Simplified:
-    """Simplify a graph of nodes (id, ord) and edges (id, src_id, dst_id)."""
+    """Simplify a graph of nodes (id, ord) and edges (id, src_id, dst_id). Nodes that a column `pinned` marks stay drawn."""
+    pinned = nodes.filter("pinned").select("id") if "pinned" in nodes.columns else None
     null = F.lit(None).cast("string")
     if leaves:
         n, e = fold_leaves(nodes, edges)
@@ -45,15 +46,16 @@ def simplify(nodes: DataFrame, edges: DataFrame, leaves: bool = True, chains: bo
     n, e = written(n), written(e)
     links = n.select(F.col("id").alias("low"), F.col("id").alias("high"), "step").limit(0)
     if chains:
-        n, e, links = _contract(n, e, edges)
+        n, e, links = _contract(n, e, edges, pinned)
     return Simplified(n, e, links)
 
 
-def _contract(nodes: DataFrame, edges: DataFrame, all_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Runs of nodes with two neighbours between two different drawn nodes; rings and runs to a folded leaf stay."""
+def _contract(nodes: DataFrame, edges: DataFrame, all_edges: DataFrame, pinned: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs of nodes with two neighbours between two different drawn nodes; rings, runs to a folded leaf and pinned nodes stay."""
     pairs = written(model.neighbour_pairs(all_edges))
     sides = written(pairs.select(F.col("low").alias("id"), F.col("high").alias("other")).union(pairs.select("high", "low")))
-    inner = written(sides.groupBy("id").count().filter("count = 2").select("id"))
+    two = sides.groupBy("id").count().filter("count = 2").select("id")
+    inner = written(two if pinned is None else two.join(pinned, "id", "left_anti"))
     hops = sides.join(inner, "id", "left_semi")
     within = written(hops.join(inner.select(F.col("id").alias("other")), "other", "left_semi").select(F.col("id").alias("src_id"), F.col("other").alias("dst_id")))
     run = written(least_labels(inner, within, "run"))

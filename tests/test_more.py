@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plexframe.functions import scalars
 from plexframe.operators import drawing, model, predicates, traverse
 from plexframe.operators.simplify import counts, restore, simplify
+from plexframe.plans import more
 from plexframe.sources import sinks
 from plexframe.sources.tables import prefixes
 from plexframe.streaming import changes
@@ -38,6 +39,27 @@ def test_simplify(spark):
     assert {r.id for r in only.nodes.filter("not visible").collect()} == {"p", "q", "r", "s"}
 
 
+def test_simplify_pinned(spark):
+    # q, with two neighbours, and the leaf stay; of the pair u v, where v is pinned, u folds
+    nodes, edges = graph(spark, "x-y y-z z-x x-p p-q q-r r-y z-leaf u-v")
+    s = simplify(nodes.withColumn("pinned", F.col("id").isin("q", "leaf", "v")), edges)
+    assert {r.id: r.representative for r in s.nodes.filter("not visible").collect()} == {"p": "x", "r": "y", "u": "v"}
+    assert {(r.low, r.high, r.step) for r in s.links.collect()} == {("x", "q", "chain:p"), ("y", "q", "chain:r")}
+
+
+@pytest.mark.parametrize("name", ["simplify_chains", "simplify_links", "simplify_counts"])
+def test_simplify_of_few_lines(spark, tmp_path, name):
+    """Parts and suppliers that one or two lines name, held against the SQL."""
+    import duckdb
+
+    rows = [(k, n, p, s) for k, n, p, s in ((1, 1, 1, 1), (1, 2, 1, 2), (2, 1, 2, 1), (3, 1, 3, 3), (4, 1, 4, 1), (4, 1, 4, 2), (5, 1, 5, 1), (5, 2, 5, 2), (5, 3, 5, 2))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    duckdb.execute(f"CREATE OR REPLACE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = more.QUERIES[name](spark, str(tmp_path))
+    want = duckdb.sql(more.SQL[name])
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
 def test_hierarchy(spark):
     # b and c on a cycle with d; e below it; f has two parents; a loop
     nodes, edges = graph(spark, "d-b b-c c-d c-e a-f d-f g-g")
