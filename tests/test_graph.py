@@ -87,3 +87,24 @@ def test_queries_have_sql():
     from plexframe.plans import queries
 
     assert set(queries.SQL) == set(queries.QUERIES)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_of_plain_links_are_told_apart_by_numbers(spark):
+    rows = spark.createDataFrame([(1, 2), (1, 2), (1, None), (3, 2), (4, 9)], "k long, to long")
+    e = edges("x", [Table("t", rows, "k", links=[Link("to", "t")])])
+    assert sorted(r.id for r in e.collect()) == [f"x:t:{k}->x:t:{to}:relation:to" for k, to in ((1, 2), (3, 2), (4, 9))]
+    assert "min_by" not in _plan(e)
+
+
+def test_index_edges_moves_only_what_is_lost_or_twice(spark):
+    nodes = spark.createDataFrame([(x,) for x in "abc"], "id string")
+    rows = [(1, "e1", "a", "b"), (2, "e1", "b", "c"), (3, "e2", "b", "c"), (0, "e1", "z", "a"), (4, "e3", "a", "z"), (5, "e4", None, "a")]
+    e = spark.createDataFrame(rows, "place int, id string, src_id string, dst_id string")
+    got = model.index_edges(nodes, e)
+    assert sorted((r.id, r.src_id, r.place) for r in got.collect()) == [("e1", "a", 1), ("e2", "b", 3)]
+    clean = model.index_edges(nodes, e.filter("place in (1, 3)"))
+    assert clean.count() == 2 and "Exchange" not in _plan(clean)
