@@ -73,6 +73,23 @@ def test_paths(spark, directed):
     assert {r.id: r.value for r in analysis.betweenness(n, e).collect()} == pytest.approx(want)
 
 
+def test_taken_off(spark):
+    # 12 leaves behind p, p and two leaves behind q, q and r (two ways out) lead into a cycle; two arcs to one node, a loop
+    text = ";".join([*(f"l{i} p {i + 1}" for i in range(12)), "p q 2;p q 3;m q 1;n q 1;q s 1;r s 1;r t 1;s t 1;t u 1;u s 1;l0 l0 1;v w 0"])
+    n, e, nodes, rows = graph(spark, text)
+    core, steps, rounds = analysis._peeled(e)
+    assert [r.count() for r in rounds] == [14, 1, 1] and {r.id for r in core.collect()} == set("rstuvw")
+    d, total = shortest(nodes, rows), len(nodes)
+    sums = {v: [d[v, w] for w in nodes if w != v and d[v, w] < float("inf")] for v in nodes}
+    close = {v: len(x) / sum(x) * len(x) / (total - 1) if sum(x) > 0 else 0.0 for v, x in sums.items()}
+    assert {r.id: r.value for r in analysis.closeness(n, e).collect()} == pytest.approx(close)
+    want = dict.fromkeys(nodes, 0.0)
+    for s, t in itertools.permutations(nodes, 2):
+        for x in set(nodes) - {s, t}:  # shortest paths are single here, but for two arcs from p to q
+            want[x] += d[s, t] < float("inf") and d[s, x] + d[x, t] == d[s, t]
+    assert {r.id: r.value for r in analysis.betweenness(n, e).collect()} == pytest.approx(want)
+
+
 def test_negative_strengths_have_no_centrality(spark):
     n, e, _, _ = graph(spark, "a b -1")
     for out in (analysis.closeness(n, e), analysis.betweenness(n, e), analysis.eigenvector(n, e)[0]):
