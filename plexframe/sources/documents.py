@@ -1,7 +1,8 @@
 """Graph documents: JSON texts with declared collections and records, or with nodes and edges, read many at a time.
 
-A table (name, text) holds a document a row; a document is at most 2**28 characters, so documents, not parts of one,
-are what is dealt out. Members are read from VARIANT, whose parser refuses a key that stands twice. Faults become rows
+A table (name, text) holds a document a row, of at most 2**28 characters. A longer document comes in parts: rows of one
+name with a column `part`, each a document of the same head with its share of the records; parts are what is dealt out.
+Members are read from VARIANT, whose parser refuses a key that stands twice. Faults become rows
 of a table of refusals, in the order of the checks; nothing is given a value it does not state.
 """
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexframe.functions import ids
+from plexframe.operators.traverse import written
 
 # Members of each object, the version, the roles, the kinds and the sizes that are taken.
 DOCUMENT, COLLECTION, RECORD = ("version", "source", "collections", "records"), ("id", "name", "titleField", "fields"), ("id", "collection", "deleted", "updatedAt", "values")
@@ -56,7 +58,7 @@ def _unknown(v: Column, members: tuple) -> Column:
 
 def parsed(texts: DataFrame) -> DataFrame:
     """(name, text, doc): doc is null if the text is no JSON, states a key twice, or is too long."""
-    return texts.select("name", "text", F.when(F.char_length("text") <= MOST_CHARS, F.try_parse_json("text")).alias("doc"))
+    return texts.select("name", *[c for c in ("part",) if c in texts.columns], "text", F.when(F.char_length("text") <= MOST_CHARS, F.try_parse_json("text")).alias("doc"))
 
 
 def read_records(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -64,11 +66,15 @@ def read_records(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     collections: name, source, collection, place, title_field, declared (array of field, role, link), and the field that
     each role goes by: of several the first by id. records: name, source, collection, id, place, deleted, updated_at,
-    values. shapes: refusals (name, rank 0, rule, at) for what is not of the documents' form.
+    values. shapes: refusals (name, rank 0, rule, at) for what is not of the documents' form. Heads that the parts of one
+    document share count once, ones that differ as collections stated twice; a record's place is its part times 2**32 and
+    its index. Texts are parsed once for the heads and once for the records, which are written.
     """
-    docs = parsed(texts)
-    d = F.col("doc")
-    top = docs.select("name", d.alias("doc"), _get(d, "$.source", "string").alias("source"), _get(d, "$.collections", "array<variant>").alias("cs"), _get(d, "$.records", "array<variant>").alias("rs"))
+    docs, d = parsed(texts), F.col("doc")
+    parts = "part" in docs.columns
+    top = docs.select("name", _get(d, "$.source", "string").alias("source"), _get(d, "$.collections", "array<variant>").alias("cs"), d.isNull().alias("lost"),
+        (F.coalesce(F.size(_unknown(d, DOCUMENT)), F.lit(1)) > 0).alias("odd"), F.coalesce(_get(d, "$.version", "double") == VERSION, F.lit(False)).alias("known"))
+    top = written(top)
     fields = F.transform(
         _get(F.col("c"), "$.fields", "array<variant>"),
         lambda f: F.struct(
@@ -78,19 +84,22 @@ def read_records(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     each = top.select("name", "source", F.posexplode("cs").alias("place", "c"))
     collections = each.select("name", "source", "place", _get(F.col("c"), "$.id", "string").alias("collection"), _get(F.col("c"), "$.titleField", "string").alias("title_field"), F.array_sort(fields).alias("declared"), _unknown(F.col("c"), COLLECTION).alias("odd"))
+    collections = written(collections.distinct() if parts else collections)
     of = lambda role: F.get(F.filter("declared", lambda f: f["role"] == role), F.lit(0))["field"]
     collections = collections.withColumns({"group_field": F.coalesce(of("label"), of("group")), "weight_field": of("weight"), "parent_field": of("parent"), "tags_field": of("tags")})
     r = F.col("r")
-    every = top.select("name", "source", F.posexplode("rs").alias("place", "r"))
+    at = (F.col("part").cast("long") * (1 << 32) + F.col("pos")) if parts else F.col("pos")
+    every = docs.select("*", F.posexplode(_get(d, "$.records", "array<variant>")).alias("pos", "r"))
     records = every.select(
-        "name", "source", "place", _get(r, "$.collection", "string").alias("collection"), _get(r, "$.id", "string").alias("id"), _get(r, "$.deleted", "boolean").alias("deleted"),
+        "name", _get(d, "$.source", "string").alias("source"), at.alias("place"), _get(r, "$.collection", "string").alias("collection"), _get(r, "$.id", "string").alias("id"), _get(r, "$.deleted", "boolean").alias("deleted"),
         _get(r, "$.updatedAt", "double").alias("updated_at"), _get(r, "$.values", "map<string,variant>").alias("values"), _unknown(r, RECORD).alias("odd"),
     )
+    records = written(records)
     wrong = lambda df, rule, at: df.select("name", F.lit(0).alias("rank"), F.lit(rule).alias("rule"), at.alias("at"))
     shapes = [
-        wrong(docs.filter("doc is null"), "no_document", F.lit("")),
-        wrong(docs.filter(d.isNotNull() & (F.coalesce(F.size(_unknown(d, DOCUMENT)), F.lit(1)) > 0)), "members", F.lit("")),
-        wrong(docs.filter(d.isNotNull() & ~F.coalesce(_get(d, "$.version", "double") == VERSION, F.lit(False))), "version", F.lit("version")),
+        wrong(top.filter("lost"), "no_document", F.lit("")),
+        wrong(top.filter("not lost and odd"), "members", F.lit("")),
+        wrong(top.filter("not lost and not known"), "version", F.lit("version")),
         wrong(collections.filter("size(odd) > 0 or odd is null or collection is null or declared is null"), "members", F.format_string("collections[%d]", "place")),
         wrong(collections.filter(F.exists("declared", lambda f: (F.coalesce(F.size(f["odd"]), F.lit(1)) > 0) | ~F.coalesce(f["role"].isin(*ROLES), F.lit(False)))), "members", F.format_string("collections[%d].fields", "place")),
         wrong(records.filter("size(odd) > 0 or odd is null or id is null or collection is null or deleted is null or updated_at is null or values is null"), "members", F.format_string("records[%d]", "place")),

@@ -122,3 +122,21 @@ def test_read_pages(spark):
 def test_empty(spark, n):
     c, r, shapes = documents.read_records(texts(spark, GOOD).limit(n))
     assert documents.refusals(c, r, shapes).count() == 0 and all(x.count() == 0 for x in documents.derive(c, r))
+
+
+def test_parts(spark):
+    """A document in parts reads as the whole one; references lead from part to part, and heads that differ are refused."""
+    halves = [GOOD | {"records": GOOD["records"][:1]}, GOOD | {"records": GOOD["records"][1:]}]
+    parts = lambda *docs: spark.createDataFrame([("d0", n, json.dumps(d)) for n, d in enumerate(docs)], "name string, part long, text string")
+    c, r, shapes = documents.read_records(parts(*halves))
+    assert documents.refusals(c, r, shapes).collect() == []
+    whole = documents.derive(*documents.read_records(texts(spark, GOOD))[:2])
+    for got, want in zip(documents.derive(c, r), whole, strict=True):
+        assert [x.id for x in got.orderBy("place").collect()] == [x.id for x in want.orderBy("place").collect()]
+    odd = halves[1] | {"collections": [GOOD["collections"][0] | {"titleField": "note"}]}
+    assert [x.rule for x in documents.refusals(*documents.read_records(parts(halves[0], odd))).collect()] == ["duplicate_collection"]
+
+
+def test_texts_are_parsed_once(spark):
+    c, r, shapes = documents.read_records(texts(spark, GOOD))
+    assert "parse_json" not in documents.refusals(c, r, shapes)._jdf.queryExecution().executedPlan().toString()
