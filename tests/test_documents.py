@@ -1,6 +1,7 @@
 """Graph documents: strict and lenient readers, derivation, commit logs and pages."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,10 @@ def test_parts(spark):
 def test_texts_are_parsed_once(spark):
     c, r, shapes = documents.read_records(texts(spark, GOOD))
     assert "parse_json" not in documents.refusals(c, r, shapes)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_of_records_are_not_broadcast(spark):
+    """References meet the records' ids, which are as many as the records, in a join by shuffle."""
+    plan = documents.refusals(*documents.read_records(texts(spark, GOOD)))._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"(\w+) \[name#\d+, \w+#\d+, id#\d+\], \[name#\d+, collection#\d+, id#\d+\], LeftAnti", plan)
+    assert joins and set(joins) == {"SortMergeJoin"}
