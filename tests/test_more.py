@@ -60,6 +60,74 @@ def test_simplify_of_few_lines(spark, tmp_path, name):
     assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
 
 
+def plainly(nodes, edges):
+    """simplify, one graph at a time in plain Python: (node, representative, step), (edge, step) and links of what goes."""
+    ord_, held = {i: o for i, o, _ in nodes}, {i for i, _, p in nodes if p}
+    near = {}
+    for _, a, b in edges:
+        if a != b and a is not None and b is not None:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    out, links = {}, set()
+    for i, n in near.items():
+        if i in ord_ and i not in held and len(n) == 1:
+            (to,) = n
+            if len(near[to]) > 1 or to not in ord_ or to in held or ord_[to] < ord_[i]:
+                out[i] = (to, f"leaf:{i}", False)
+    inner, folded, seen = {i for i, n in near.items() if len(n) == 2 and i not in held}, set(out), set()
+    for i in sorted(inner):
+        if i in seen:
+            continue
+        run, todo = set(), [i]
+        while todo:
+            run.add(x := todo.pop())
+            todo += [y for y in near[x] & inner if y not in run]
+        seen |= run
+        ends = sorted((ord_.get(y, -1), y) for x in run for y in near[x] - inner)
+        if len(ends) == 2 and ends[0] != ends[1] and all(y in ord_ and y not in folded for _, y in ends):
+            links.add((ends[0][1], ends[1][1], f"chain:{i}"))
+            out |= {x: (ends[0][1], f"chain:{i}", bool(near[x] - inner)) for x in run}
+    steps = {e: next((out[x][1] for x in (a, b) if x in out and not (a == b and out[x][2])), None) for e, a, b in edges}
+    return {(i, *out[i][:2]) for i in ord_ if i in out}, {(e, s) for e, s in steps.items() if s}, links
+
+
+def tangles(seed, most):
+    """Small graphs side by side: paths, rings, parallel edges, loops, pinned nodes, ends that no node has, edges without an end."""
+    r, nodes, edges = random.Random(seed), [], []
+    for g in range(most):
+        own = [f"g{g}n{i}" for i in range(r.randint(2, 9))]
+        nodes += [(i, g * 10 + k, g % 2 == 1 and r.random() < 0.2) for k, i in enumerate(r.sample(own, len(own)))]
+        pick = lambda own=own, g=g: r.choice([f"g{g}x", None]) if g % 5 == 0 and r.random() < 0.1 else r.choice(own)
+        walk = r.sample(own, len(own)) if g % 3 else []
+        ring = list(zip(walk, walk[1:] + walk[:1], strict=True))
+        pairs = [*ring[: len(ring) - (r.random() < 0.7)], *[(pick(), pick()) for _ in range(r.randint(1, 4 if walk else 11))]]
+        a, b = r.choice(pairs)
+        edges += [(f"g{g}e{k}", *p) for k, p in enumerate([*pairs, (b, a), (a, b)][: len(pairs) + 2 * (g % 4 == 0)])]
+    return nodes, edges
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_simplify_tangles(spark, seed):
+    nodes, edges = tangles(seed, 150)
+    gone, cut, links = plainly(nodes, edges)
+    s = simplify(spark.createDataFrame(nodes, "id string, ord long, pinned boolean"), spark.createDataFrame(edges, "id string, src_id string, dst_id string"))
+    assert s.nodes.count() == len(nodes) and s.edges.count() == len(edges)
+    assert {(r.id, r.representative, r.step) for r in s.nodes.filter("not visible").collect()} == gone
+    assert {(r.id, r.step) for r in s.edges.filter("not visible").collect()} == cut
+    assert {tuple(r) for r in s.links.select("low", "high", "step").collect()} == links
+    assert tuple(counts(s).first()) == (len(gone), len(cut))
+
+
+@pytest.mark.parametrize("what", ["nodes"])
+def test_simplify_shuffles_no_more(spark, tmp_path, what):
+    """What is simplified comes from tables that are written, without a further shuffle."""
+    lines = spark.range(20000).selectExpr("id div 4 as l_orderkey", "cast(id % 4 as int) as l_linenumber", "id * 7 % 900 as l_partkey", "id * 13 % 70 as l_suppkey")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = getattr(simplify(*more._deals(spark, str(tmp_path))), what)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.filter("step is not null").count() == 20000
+
+
 def test_hierarchy(spark):
     # b and c on a cycle with d; e below it; f has two parents; a loop
     nodes, edges = graph(spark, "d-b b-c c-d c-e a-f d-f g-g")
