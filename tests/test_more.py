@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plexframe.functions import scalars
-from plexframe.operators import drawing, model, predicates, traverse
+from plexframe.operators import analysis, drawing, model, predicates, traverse
+from plexframe.operators import simplify as simplification
 from plexframe.operators.simplify import counts, restore, simplify
 from plexframe.plans import more
 from plexframe.sources import sinks
@@ -118,12 +119,16 @@ def test_simplify_tangles(spark, seed):
     assert tuple(counts(s).first()) == (len(gone), len(cut))
 
 
-@pytest.mark.parametrize("what", ["nodes"])
-def test_simplify_shuffles_no_more(spark, tmp_path, what):
-    """What is simplified comes from tables that are written, without a further shuffle."""
+@pytest.mark.parametrize("what", ["nodes", "links"])
+def test_simplify_writes_little(spark, tmp_path, monkeypatch, what):
+    """Where each line is a chain of its own four tables are written, and what is asked for comes from them without a shuffle."""
+    calls = []
+    for m in (simplification, analysis, traverse):
+        monkeypatch.setattr(m, "written", lambda df, f=m.written: calls.append(df) or f(df))
     lines = spark.range(20000).selectExpr("id div 4 as l_orderkey", "cast(id % 4 as int) as l_linenumber", "id * 7 % 900 as l_partkey", "id * 13 % 70 as l_suppkey")
     lines.write.parquet(f"{tmp_path}/lineitem.parquet")
     got = getattr(simplify(*more._deals(spark, str(tmp_path))), what)
+    assert len(calls) == 4
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.filter("step is not null").count() == 20000
 
