@@ -20,12 +20,15 @@ class Simplified:
     """nodes (id, ord, visible, representative, step), edges (..., visible, step), links (low, high, step).
 
     A step is `leaf:` and the leaf, or `chain:` and the chain's least id; null for what is still drawn. links are drawn
-    in place of chains.
+    in place of chains. out (id, here, step, tip, edges) are the ends that go, each with how many edges it takes along,
+    and shared (edges) counts the edges between two of them; None if nothing went.
     """
 
     nodes: DataFrame
     edges: DataFrame
     links: DataFrame
+    out: DataFrame | None = None
+    shared: DataFrame | None = None
 
 
 def simplify(nodes: DataFrame, edges: DataFrame, leaves: bool = True, chains: bool = True) -> Simplified:
@@ -49,15 +52,20 @@ def simplify(nodes: DataFrame, edges: DataFrame, leaves: bool = True, chains: bo
     forget(known)
     leaf, chain = F.concat(F.lit("leaf:"), "id"), F.concat(F.lit("chain:"), "run")
     one = spans.filter("alone").withColumn("run", F.when(F.col("first").isNotNull(), F.col("id"))).withColumn("tip", F.lit(True))
-    links = one.filter("run is not null").select(F.col("first").alias("low"), F.col("last").alias("high"), chain.alias("step"))
+    links, long, shared = one.filter("run is not null").select(F.col("first").alias("low"), F.col("last").alias("high"), chain.alias("step")), None, None
     if spans.filter("not alone").limit(1).count():
         long, runs = _contract(spans.filter("not alone"))
         links = links.union(runs.select("low", "high", chain.alias("step")))
         one = one.select(long.columns).union(long)
-    out = rest.filter("to is not null").select("id", leaf.alias("step"), F.lit(False).alias("tip")).union(one.filter("run is not null").select("id", chain.alias("step"), "tip"))
+        gone = long.filter("run is not null")
+        a, b = (gone.select(F.col("id").alias(c)) for c in ("src_id", "dst_id"))
+        shared = edges.filter("src_id != dst_id").join(a, "src_id", "left_semi").join(b, "dst_id", "left_semi").agg(F.count("*").alias("shared"))
+    loops = F.when(F.col("tip"), 0).otherwise(F.col("loops"))  # a loop at a chain's first or last node stays in its place
+    out = rest.filter("to is not null").select("id", "here", leaf.alias("step"), F.lit(False).alias("tip"), (F.col("edges") + F.col("loops")).alias("edges"))
+    out = out.union(one.filter("run is not null").select("id", "here", chain.alias("step"), "tip", (F.col("edges") + loops).alias("edges")))
     seen = rest.filter("here").select("id", "ord", F.col("drawn").alias("visible"), F.coalesce("to", "id").alias("representative"), F.when(~F.col("drawn"), leaf).alias("step"))
     seen = seen.union(one.filter("here").select("id", "ord", F.col("run").isNull().alias("visible"), F.coalesce("first", "id").alias("representative"), chain.alias("step")))
-    return Simplified(seen, _marked(edges, out), links)
+    return Simplified(seen, _marked(edges, out), links, out, shared)
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -131,7 +139,6 @@ def _marked(edges: DataFrame, out: DataFrame) -> DataFrame:
     """edges with visible and step: those at an end that goes, by its source's step before its target's."""
     a, b = (out.select(F.col("id").alias(c), F.col("step").alias(f"__{c}"), F.col("tip").alias(f"__tip_{c}")) for c in ("src_id", "dst_id"))
     stays = (F.col("src_id") == F.col("dst_id")) & F.col("__tip_src_id")
-    # a loop at a chain's first or last node stays in its place
     step = F.when(stays, F.lit(None).cast("string")).otherwise(F.coalesce("__src_id", "__dst_id"))
     own = [c for c in edges.columns if c not in ("visible", "step")]
     return edges.select(own).join(a, "src_id", "left").join(b, "dst_id", "left").select(*own, step.isNull().alias("visible"), step.alias("step"))
@@ -144,5 +151,10 @@ def restore(s: Simplified) -> Simplified:
 
 
 def counts(s: Simplified) -> DataFrame:
-    """One row: how many nodes and edges are out."""
-    return model.hidden_counts(s.nodes, s.edges)
+    """One row: how many nodes and edges are out. Edges are counted at the ends that go, those between two once."""
+    if s.out is None:
+        return model.hidden_counts(s.nodes, s.edges)
+    found = s.out.agg(F.count_if("here").alias("nodes"), F.coalesce(F.sum("edges"), F.lit(0)).alias("edges"))
+    if s.shared is not None:
+        found = found.crossJoin(s.shared).select("nodes", (F.col("edges") - F.col("shared")).alias("edges"))
+    return found

@@ -133,6 +133,15 @@ def test_simplify_writes_little(spark, tmp_path, monkeypatch, what):
     assert got.filter("step is not null").count() == 20000
 
 
+def test_simplify_counts_at_the_ends(spark):
+    """Edges that go are counted with the ends that go, so no edge meets a node again; only chains of several look for edges between them."""
+    nodes, edges = graph(spark, "a-x x-b a-y y-b b-c a-c c-d")
+    s = simplify(nodes, edges)
+    assert "Join" not in counts(s)._jdf.queryExecution().executedPlan().toString()
+    assert tuple(counts(s).first()) == (3, 5) and tuple(counts(restore(s)).first()) == (0, 0)
+    assert counts(s).dtypes == model.hidden_counts(s.nodes, s.edges).dtypes and counts(s).collect() == model.hidden_counts(s.nodes, s.edges).collect()
+
+
 def test_hierarchy(spark):
     # b and c on a cycle with d; e below it; f has two parents; a loop
     nodes, edges = graph(spark, "d-b b-c c-d c-e a-f d-f g-g")
